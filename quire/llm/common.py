@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,15 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 
 
+def reach(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, also when PYTHONPATH doesn't say so."""
+    root, known = str(Path(__file__).parents[2]), spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known.get("PYTHONPATH", "")]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +41,7 @@ def work_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there and lost executors cost nothing."""
+    reach(df.sparkSession)
     path = f"{work_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -42,6 +53,7 @@ def partitions(spark: SparkSession) -> int:
 
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id and text, a null text as the empty one; whatever else the table has stays behind."""
+    reach(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 

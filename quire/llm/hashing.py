@@ -67,8 +67,10 @@ def _runs(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def _block(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block(data: np.ndarray, first: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     begin, end = _runs(data, first)
+    if most is not None:
+        end = np.minimum(end, begin + most)
     up, down = _power(len(data))
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
@@ -77,7 +79,12 @@ def _block(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mix(value + (end - begin).astype(np.uint64) * np.uint64(_BASE)), begin
 
 
-def words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def prefixes(array: pa.Array, most: int) -> np.ndarray:
+    """Hashes of the first `most` bytes of all words, in the order of words()."""
+    return words(array, most)[0]
+
+
+def words(array: pa.Array, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for text i the range at[i]:at[i+1] of them. Memory: some 40 bytes for each
     byte of the longest text or of CHUNK_BYTES; longer texts are cut at white space."""
     data, at = buffers(array)
@@ -90,7 +97,7 @@ def words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             if high - low <= 2 * CHUNK_BYTES:
                 part = data[low:high]
                 first = np.unique(at[row:stop][at[row + 1 : stop + 1] > at[row:stop]] - low)
-                value, begin = _block(part, first)
+                value, begin = _block(part, first, most)
                 found.append(value)
                 counts[row + 1 : stop + 1] = np.diff(np.searchsorted(begin, at[row : stop + 1] - low))
             else:  # one long text
@@ -99,7 +106,7 @@ def words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                     while cut < high and not _SPACE[data[cut]]:
                         spaces = np.flatnonzero(_SPACE[data[cut : min(high, cut + CHUNK_BYTES)]])
                         cut = cut + int(spaces[0]) if len(spaces) else min(high, cut + CHUNK_BYTES)
-                    value, _ = _block(data[low:cut], np.zeros(1, np.int64))
+                    value, _ = _block(data[low:cut], np.zeros(1, np.int64), most)
                     found.append(value)
                     counts[row + 1] += len(value)
                     low = cut

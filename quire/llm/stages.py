@@ -4,24 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import neardup
 from . import packing as _packing
-from .common import stored  # noqa: F401  for the pipeline
+from . import pii as _pii
+from . import quality as _quality
+from . import toxicity as _toxicity
+from .common import stored, table  # noqa: F401  stored is for the pipeline
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Without the documents that the base rules or the learned list reject."""
+    return _quality.keep(docs, _quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Without the documents predicted toxic."""
+    return _toxicity.keep(docs, _toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """One document of each component, that with the least doc_id."""
+    return neardup.keep(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All documents, with personal data replaced by its kind."""
+    return _pii.mask(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
