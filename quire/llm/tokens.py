@@ -18,9 +18,10 @@ CACHE = 300_000
 #: Longer runs without white space go to the library, whose cost doesn't grow with their square.
 LONGEST = 400
 
-#: Characters with the same class in every engine, for which white space is the space and the line feed alone.
-_PLAIN = re.compile("[\n\x20-\x7e¡-¬®-ɏ]*")
-_LONG = re.compile("[^ \n]{%d}" % LONGEST)
+#: Characters with the same class in every engine, for which white space is the space and the line feed alone, and no
+#: run without white space above LONGEST.
+_WORD = "[!-~¡-¬®-ɏ]{0,%d}+" % LONGEST
+_PLAIN = re.compile(rf"(?:{_WORD}[ \n]++)*+{_WORD}")
 #: The pre-tokenizer patterns that the two files name.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -107,7 +108,7 @@ class Merges:
 
 def plain(text: str, special: tuple[str, ...]) -> bool:
     """Whether all engines read this text alike."""
-    return _PLAIN.fullmatch(text) is not None and _LONG.search(text) is None and not any(x in text for x in special)
+    return _PLAIN.fullmatch(text) is not None and not any(x in text for x in special)
 
 
 class ByteEncoder:
