@@ -25,8 +25,9 @@ from .common import pieces, reach, texts
 
 #: The fit looks at so many positive and unlabelled documents at most, the first by a hash of doc_id.
 POSITIVE, UNLABELLED = 4_000, 8_000
-#: Size of the hashed feature space, features kept, positives that a feature must come in.
-SPACE_BITS, FEATURES, SEEN = 18, 1024, 3
+#: Size of the hashed feature space, features kept, positives that a feature must come in, and by how many standard
+#: errors its share of them must exceed that of unlabelled texts.
+SPACE_BITS, FEATURES, SEEN, SIGNIFICANT = 18, 1024, 3, 3.0
 PREFIXES = (4, 5, 6)
 STEPS, RATE, DECAY = 400, 0.1, 1e-4
 FOLDS = 5
@@ -81,7 +82,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     z = (p - u) / np.sqrt(p * (1 - p) / n + u * (1 - u) / m)
     z[df_p < min(SEEN, n)] = 0
     chosen = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[z[chosen] > 0])
+    chosen = np.sort(chosen[z[chosen] > SIGNIFICANT])
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
     rows = [*positive, *unlabelled]
