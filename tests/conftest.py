@@ -8,7 +8,6 @@ ROOT = Path(__file__).parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
@@ -20,12 +19,10 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     return session
 
-
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.01"
 
-
 @pytest.fixture(scope="session")
 def duck(sf):
     import duckdb
@@ -35,16 +32,3 @@ def duck(sf):
         con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
     return con
 
-
-def rows(df, columns=None):
-    """Rows as sorted tuples of text, doubles to nine digits, so that both engines' values compare."""
-    import pandas as pd
-
-    columns = columns or sorted(df.columns)
-
-    def plain(v):
-        if v is None or (not isinstance(v, (list, dict)) and pd.isna(v)):
-            return "NULL"
-        return f"{v:.9g}" if isinstance(v, float) else str(v)
-
-    return sorted(tuple(plain(v) for v in r) for r in df[columns].itertuples(index=False))

@@ -1,9 +1,9 @@
 """Every query of the document engine against DuckDB on the same tables."""
 
 import pytest
-from conftest import rows
+from compare import rows
 
-from quire.plans import catalogue
+from quire.plans import catalogue, service  # noqa: F401  service registers its queries
 
 
 @pytest.mark.parametrize("name", list(catalogue.QUERIES))

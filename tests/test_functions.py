@@ -177,3 +177,40 @@ def test_streams_end_like_batches(spark, sf):
 
     stream = sorted(map(tuple, catalogue.QUERIES["stream_usage"](spark, sf).select("user_id", "day", "n").collect()))
     assert stream == sorted(map(tuple, catalogue.QUERIES["usage_daily"](spark, sf).select("user_id", "day", "n").collect()))
+
+
+def test_page_source_round_trip(spark, tmp_path):
+    from quire.sources import datasource
+
+    datasource.register(spark)
+    rows = [(1, 1, "a\fb"), (1, 2, None), (2, 1, "x\\f"), (2, 2, "שלום"), (2, 3, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, page long, text string").repartition(2, "doc_id").sortWithinPartitions("doc_id", "page")
+    df.write.format("quire_pages").mode("append").save(str(tmp_path))
+    got = spark.read.format("quire_pages").load(str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(d, p, t or "") for d, p, t in rows]
+    some = spark.read.format("quire_pages").option("pages", "1,3").load(str(tmp_path))
+    assert sorted((r["doc_id"], r["page"]) for r in some.collect()) == [(1, 1), (2, 1), (2, 3)]
+
+
+def test_tokens():
+    from quire.operators import requests
+
+    good = requests.token("u1", 100, 200, "k")
+    assert requests.subject(good, 150, "k") == "u1"
+    assert [requests.subject(*x) for x in ((good, 200, "k"), (good, 150, "other"), (good[:-2], 150, "k"), ("", 1, "k"), (None, 1, "k"), ("a.b.c", 1, "k"))] == [None] * 6
+
+
+def test_failed_slices_leave_text_alone(spark):
+    from quire.operators import translation
+
+    df = spark.createDataFrame([("a" * 4500 + "bad",), ("ok",), ("ok",)], "text string")
+    got = dict(map(tuple, translation.translate_texts(df, lambda ts: [None if t == "bad" else t.upper() for t in ts]).collect()))
+    assert got == {"a" * 4500 + "bad": None, "ok": "OK"}
+
+
+def test_languages_fall_back(spark):
+    from quire.operators import requests
+
+    some = spark.createDataFrame([("osd",), ("eng",)], "code string")
+    assert [r[0] for r in requests.languages(some, ["heb"]).collect()] == ["eng"]
+    assert [r[0] for r in requests.languages(some.where("code = 'osd'"), ["heb"]).collect()] == ["heb"]
