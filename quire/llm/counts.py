@@ -38,8 +38,9 @@ class Lengths:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.additive = not any(_SPACE in x.lstrip(_SPACE) for x in names) and self.model.encode("a b", out_type=str)[0].startswith(_SPACE)
-        self.frequent, self.table = frequent, dict(frequent)
+        self.additive = _SPACE in names and not any(_SPACE in x.lstrip(_SPACE) for x in names) and self.model.encode("a b", out_type=str)[0].startswith(_SPACE)
+        self.frequent = frequent | {"": 1}  # a single space at the end; the library's own first space doesn't come alone
+        self.table = dict(self.frequent)
 
     def _groups(self, text: str) -> list[str]:
         """Pre-tokens without their first space, which the library puts before every text itself."""
@@ -74,7 +75,7 @@ def frequent(docs: DataFrame, path: str) -> dict[str, int]:
                     seen.update(text.split(" "))
                 if len(seen) > 8 * FREQUENT:  # the rare ones are not what the table is for
                     seen = Counter(dict(seen.most_common(FREQUENT)))
-        head = [(k, v) for k, v in seen.most_common(HEAD) if len(k.encode()) <= LONGEST_KEY]
+        head = [(k, v) for k, v in seen.most_common(HEAD) if 0 < len(k.encode()) <= LONGEST_KEY]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in head], pa.string()), pa.array([v for _, v in head], pa.int64())], ["piece", "n"])
 
     heads = docs.select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
