@@ -75,8 +75,10 @@ def held_out(doc_id: str = "doc_id"):
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """Fits the risk above by Adam on all rows at once; each row is the array of its distinct feature numbers."""
     size = 2**SPACE_BITS
-    df_p = np.bincount(np.concatenate([*positive, np.zeros(0, np.int64)]).astype(np.int64), minlength=size)
-    df_u = np.bincount(np.concatenate([*unlabelled, np.zeros(0, np.int64)]).astype(np.int64), minlength=size)
+    df_p, df_u = np.zeros(size), np.zeros(size)
+    for df, part in ((df_p, positive), (df_u, unlabelled)):
+        for x in part:
+            df[x] += 1  # a row's numbers are distinct
     n, m = max(len(positive), 1), max(len(unlabelled), 1)
     p, u = (df_p + 0.5) / (n + 1), (df_u + 0.5) / (m + 1)
     z = (p - u) / np.sqrt(p * (1 - p) / n + u * (1 - u) / m)
@@ -86,9 +88,9 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
     rows = [*positive, *unlabelled]
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    column = place[np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)]
-    row, column = row[column >= 0], column[column >= 0]
+    some = [c[c >= 0] for c in (place[x] for x in rows)]
+    row = np.repeat(np.arange(len(rows)), [len(c) for c in some])
+    column = np.concatenate([*some, np.zeros(0, np.int64)])
     weight = np.zeros(len(chosen) + 1)
     weight[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(weight), np.zeros_like(weight)
@@ -138,9 +140,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     found = rows.select("doc_id", "text", "_positive").mapInArrow(run, "doc_id long, positive boolean, features binary").toArrow()
     order = np.argsort(np.array(found.column("doc_id")), kind="stable")
     positive, raw = found.column("positive").to_pylist(), found.column("features").to_pylist()
+    del found
     part = {True: [], False: []}
     for i in order:
-        part[positive[i]].append(np.frombuffer(raw[i], "<u4").astype(np.int64))
+        part[positive[i]].append(np.frombuffer(raw[i], "<u4"))
     if not part[True]:
         return Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
     return train(part[True], part[False], prior)
