@@ -32,6 +32,8 @@ INVISIBLE = set("­​‌‍⁠﻿")
 # Spelled digits and the words for the two signs.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 AT, DOT = ("at", "arroba", "chez"), ("dot", "punto", "punkt", "point")
+# Last labels that make words with bare "at" and "dot" between them an address.
+LAST = ("com", "org", "net", "edu", "gov", "info", "io", "test", "example", "co", "uk", "de", "fr", "es", "it", "eu", "us")
 
 _ODD = re.compile("[^\x00-¬®-ɏ]|­")
 _DIGIT = re.compile("[0-9]")
@@ -40,7 +42,7 @@ _RUN = re.compile(rf"(?<![A-Za-z])(?:plus[ -]+)?(?:{_WORD})(?:(?:[ .-]+|, )(?:{_
 _PART = re.compile(rf"plus|{_WORD}|dot|point", re.I)
 _OPEN, _SHUT = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _BRACKETS = [(re.compile(rf"\s{{0,3}}{_OPEN}(?:{'|'.join(words)}|{re.escape(sign)}){_SHUT}\s{{0,3}}", re.I), sign) for words, sign in ((AT, "@"), (DOT, "."))]
-_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ (?:{'|'.join(AT)}) [A-Za-z0-9-]+(?: (?:{'|'.join(DOT)}) [A-Za-z0-9-]+)+(?![A-Za-z0-9-])", re.I)
+_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ (?:{'|'.join(AT)}) [A-Za-z0-9-]+(?: (?:{'|'.join(DOT)}) [A-Za-z0-9-]+)* (?:{'|'.join(DOT)}) (?:{'|'.join(LAST)})(?![A-Za-z0-9-])", re.I)
 _SIGNS = re.compile(rf" (?:(?P<at>{'|'.join(AT)})|(?:{'|'.join(DOT)})) ", re.I)
 _HINTS = [w for w in SPELLED if w not in ("one", "oh")] + ["one one one"]
 
