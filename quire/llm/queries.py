@@ -106,11 +106,12 @@ _OP6 = r"""
 with recursive w as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from documents
-), s as (
-  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
-  from w
-), n as (select doc_id, cast(len(s) as bigint) as n from s), e as (select doc_id, unnest(s) as x from s),
+), t as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as p from w),
+g as (
+  select doc_id, x || ' ' || lead(x, 1) over o || ' ' || lead(x, 2) over o || ' ' || lead(x, 3) over o || ' ' || lead(x, 4) over o as x
+  from t window o as (partition by doc_id order by p)
+), e as (select distinct doc_id, x from g where x is not null union all select doc_id, array_to_string(w, ' ') from w where len(w) between 1 and 4),
+n as (select w.doc_id, count(e.x) as n from w left join e on e.doc_id = w.doc_id group by w.doc_id),
 l as (
   select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id <> b.doc_id
   join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id

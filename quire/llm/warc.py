@@ -76,18 +76,21 @@ def audit(first: list[DataFrame], second: list[DataFrame], fanout: int = FANOUT)
     pad = lambda levels: levels + [levels[-1]] * (height - len(levels))
     first, second = pad(first), pad(second)
     suspects = None
-    for depth in range(height - 1, -1, -1):
-        a, b = first[depth], second[depth]
-        if suspects is not None:
-            inside = lambda df: df.withColumn("_up", F.floor(F.col("pos") / fanout).cast("long")).join(suspects, ["file", "_up"], "left_semi").drop("_up")
-            a, b = inside(a), inside(b)
-        if depth:
-            differ = a.select("file", "pos", "hash").join(b.select("file", "pos", F.col("hash").alias("other")), ["file", "pos"], "full").where(~F.col("hash").eqNullSafe(F.col("other")))
-            suspects = stored(differ.select("file", F.col("pos").alias("_up")), f"suspects-{depth}")
-            if len(first) == len(second) and suspects.isEmpty():
-                break
+
+    def below(level: DataFrame) -> DataFrame:
+        """The nodes of a level that hang on suspects; all of the top level."""
+        if suspects is None:
+            return level
+        return level.withColumn("_up", F.floor(F.col("pos") / fanout).cast("long")).join(suspects, ["file", "_up"], "left_semi").drop("_up")
+
+    for depth in range(height - 1, 0, -1):
+        a, b = below(first[depth]), below(second[depth])
+        differ = a.select("file", "pos", "hash").join(b.select("file", "pos", F.col("hash").alias("other")), ["file", "pos"], "full").where(~F.col("hash").eqNullSafe(F.col("other")))
+        suspects = stored(differ.select("file", F.col("pos").alias("_up")), f"suspects-{depth}")
+        if suspects.isEmpty():
+            break
     names = ["page_id", "low", "high"]
-    a, b = (inside(first[0]), inside(second[0])) if height > 1 else (first[0], second[0])
+    a, b = below(first[0]), below(second[0])
     b = b.select("file", "pos", *[F.col(c).alias(f"_{c}") for c in names], F.col("hash").alias("other_hash"))
     both = a.select("file", "pos", *names, "hash").join(b, ["file", "pos"], "full").where(~F.col("hash").eqNullSafe(F.col("other_hash")))
     kind = F.when(F.col("hash").isNull(), "extra").when(F.col("other_hash").isNull(), "missing").otherwise("corrupt")
