@@ -3,7 +3,8 @@
 Statistics of each whole text are computed in one row-local expression: no shuffle, no Python. From at most LABELLED
 labelled rows (the first by a hash of doc_id) they are cut at quantiles into cells, and a table of (cell, good, bad)
 counts goes to the driver. Sequential covering works on those counts: a rule grows by the condition of highest
-information gain on two thirds of the rows, loses trailing conditions while that helps on the other third, and is kept if
+information gain on two thirds of the rows, loses trailing conditions while that raises its
+precision (by Laplace's estimate) on the other third, and is kept if
 it is precise there; what it covers is set aside and the next rule is grown. The list becomes one CASE expression.
 """
 
@@ -169,7 +170,7 @@ def cover(grow: list[tuple], prune: list[tuple], sizes: list[int]) -> list[list[
 
         def worth(length: int, rule: list[tuple] = rule) -> tuple[float, int]:
             good, bad = _count(prune, rule[:length])
-            return ((bad - good) / (bad + good) if bad + good else -1.0), -length
+            return (bad + 1) / (bad + good + 2), -length
 
         rule = rule[: max(range(1, len(rule) + 1), key=worth)]
         good, bad = (a + b for a, b in zip(_count(prune, rule), _count(grow, rule), strict=True))
@@ -193,7 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> DecisionList:
     rows = stored(rows.select("_id", "_quality", *[c.alias(k) for k, c in features(F.col("s")).items()]), "labelled")
     share = [i / CUTS for i in range(1, CUTS)] + [0.97, 0.98, 0.99, 0.995]
     found = rows.agg(*[F.percentile_approx(k, share, 10_000).alias(k) for k in NAMES]).first()
-    cuts = [sorted(set(found[k] or [])) for k in NAMES]
+    # a cut at a value, and one just above it, so that a value which many rows share can be parted from all greater ones
+    cuts = [sorted({y for x in found[k] or [] for y in (x, math.nextafter(x, math.inf))}) for k in NAMES]
     below = lambda k: lambda x: x <= F.col(k)
     cell = [F.size(F.filter(F.lit(c), below(k))) if c else F.lit(0) for k, c in zip(NAMES, cuts, strict=True)]
     third = (F.pmod(F.xxhash64("_id", F.lit("prune")), F.lit(3)) == 0).alias("prune")
