@@ -9,9 +9,13 @@ with 12 chunks one pair in 170,000 meets under no key.)
 1. Documents with equal sets become one class (128-bit digest), so copies cost no pairs.
 2. Keys are sorted; each class is paired with the first class of its key. A key's classes stream by, none is gathered.
 3. Pairs are confirmed on their full sets, and classes joined into components.
-4. Keys whose classes are still in different components are looked at again: there all pairs of classes from different
-   components are compared by signature, in cells of at most two blocks of BLOCK classes, and those within NEAR go
-   through step 3. After that every pair that meets under a key is confirmed, refuted or within one component.
+4. Keys whose classes are still in different components are looked at again. First each such key pairs another of its
+   classes, one by a hash, with those of other components; as a family of near copies meets under dozens of keys, it
+   has dozens of centres and grows together. Then what is left is compared in full: all pairs of classes from different
+   components under a key, in cells of at most two blocks of BLOCK classes, a pair under the first of its keys alone.
+   Both times pairs go through step 3 only if their signatures are within NEAR and so are their sketches: the SKETCH
+   least elements of a set, which is the whole set if it has no more. After that every pair that meets under a key is
+   confirmed, refuted or within one component.
 """
 
 from __future__ import annotations
@@ -30,9 +34,9 @@ from .common import partitions, pieces, stored, texts
 SHINGLE, SIMILAR = 5, 75
 CHUNKS, WIDTH, ERRORS = 12, 5, 1
 COMPONENTS = CHUNKS * WIDTH
-#: Signatures of pairs at the similarity differ in 15 components on average, with a deviation of 3.4; so more than NEAR
-#: with probability below 1e-7.
-NEAR = 34
+#: Signatures of pairs at the similarity differ in 15 components on average, with a deviation of 3.4; so in more than
+#: NEAR with probability below 1e-7. An estimate by sketches may fall short of the similarity by DEVIATIONS.
+NEAR, SKETCH, DEVIATIONS = 34, 512, 5
 BLOCK = 2048
 #: Pairs of one class that a task confirms.
 STAR = 512
@@ -40,6 +44,7 @@ STAR = 512
 _RNG = np.random.default_rng(65537)
 _FLIP = _RNG.integers(0, 2**32, COMPONENTS, dtype=np.uint64).astype(np.uint32)
 _TIMES = _RNG.integers(0, 2**31, COMPONENTS, dtype=np.uint64).astype(np.uint32) << np.uint32(1) | np.uint32(1)
+_NUMBER = (1 << (CHUNKS * WIDTH - 1).bit_length()) - 1
 _SALT = _RNG.integers(0, 2**63, (CHUNKS * WIDTH, WIDTH), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
@@ -66,8 +71,7 @@ def signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     if len(full):
         x = (values >> np.uint64(32)).astype(np.uint32)
         for i in range(COMPONENTS):
-            v = (x ^ _FLIP[i]) * _TIMES[i]
-            least = np.minimum.reduceat(v, at[full])
+            least = np.minimum.reduceat((x ^ _FLIP[i]) * _TIMES[i], at[full])
             out[full, i] = hashing.mix(least.astype(np.uint64)) & np.uint64(0xFFFF)
     return out
 
@@ -82,26 +86,28 @@ def digests(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two digests of the set and the signature of every text."""
+    """doc_id, n_shingles, two digests of the set, the signature and the sketch of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in pieces(batch):
                 values, at = sets(b.column("text"))
                 d1, d2 = digests(values, at)
-                raw = [x.tobytes() for x in signatures(values, at)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(d1), pa.array(d2), pa.array(raw, pa.binary())], ["doc_id", "n", "d1", "d2", "signature"])
+                raw = pa.array([x.tobytes() for x in signatures(values, at)], pa.binary())
+                high = (values >> np.uint64(32)).astype("<u4")
+                sketch = pa.array([high[a : min(z, a + SKETCH)].tobytes() for a, z in zip(at, at[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(d1), pa.array(d2), raw, sketch], ["doc_id", "n", "d1", "d2", "signature", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, signature binary")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, signature binary, sketch binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    data, _ = hashing.buffers(column)
-    return data.view(np.uint16).reshape(-1, COMPONENTS)
+    return hashing.buffers(column)[0].view(np.uint16).reshape(-1, COMPONENTS)
 
 
 def index(classes: DataFrame) -> DataFrame:
-    """key, id: for each class and chunk the keys that leave out ERRORS (one) of its components."""
+    """key, id: for each class and chunk the keys that leave out ERRORS (one) of its components. The low bits of a key
+    are its number: the chunk times WIDTH plus the component left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +120,8 @@ def index(classes: DataFrame) -> DataFrame:
                     for out in range(WIDTH):
                         number = chunk * WIDTH + out
                         rest = np.delete(np.arange(WIDTH), out)
-                        keys.append(hashing.mix((part[:, rest] * _SALT[number, rest]).sum(axis=1, dtype=np.uint64) + np.uint64(number)))
+                        hashed = hashing.mix((part[:, rest] * _SALT[number, rest]).sum(axis=1, dtype=np.uint64))
+                        keys.append(hashed & ~np.uint64(_NUMBER) | np.uint64(number))
                 ids = np.array(b.column("id"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, len(keys)))], ["key", "id"])
 
@@ -215,42 +222,109 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _crossing(keys: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that share a key, lie in different components and have signatures within NEAR."""
+def _mixed(keys: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, _n, component, id, n, signature, sketch of the keys that have classes of different components; _n of them."""
     rows = keys.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("_n")).where("low < high")
+    return rows.join(mixed.select("key", "_n"), "key").join(classes.select("id", "n", "signature", "sketch"), "id")
+
+
+class Sets:
+    """What a batch of rows knows of its classes' sets."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.n = np.array(batch.column("n"))
+        self.signature = _matrix(batch.column("signature"))
+        data, at = hashing.buffers(batch.column("sketch"))
+        self.sketch, self.at = data.view("<u4"), at // 4
+
+    def row(self, i: int) -> tuple[int, np.ndarray, np.ndarray]:
+        return int(self.n[i]), self.signature[i].copy(), self.sketch[self.at[i] : self.at[i + 1]].copy()
+
+    def alike(self, one: tuple[int, np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
+        """Those of the rows whose sets may reach the similarity with one row's."""
+        n, signature, sketch = one
+        rows = rows[100 * np.minimum(self.n[rows], n) >= SIMILAR * np.maximum(self.n[rows], n)]
+        rows = rows[(self.signature[rows] != signature).sum(axis=1) <= NEAR]
+        if not len(rows):
+            return rows
+        size = np.diff(self.at)[rows]
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        values = self.sketch[np.repeat(self.at[rows] - start, size) + np.arange(size.sum())]
+        # both sketches hold their sets up to the lesser of their ends; a sketch that is the whole set has no end
+        whole = np.uint32(0xFFFFFFFF)
+        end = np.minimum(np.where(self.n[rows] > SKETCH, values[start + size - 1], whole), sketch[-1] if n > SKETCH else whole)
+        found = sketch[np.minimum(np.searchsorted(sketch, values), len(sketch) - 1)] == values
+        both = np.add.reduceat(found, start, dtype=np.int64)
+        own = np.searchsorted(sketch, end, side="right")
+        union = own + np.add.reduceat(values <= np.repeat(end, size), start, dtype=np.int64) - both
+        slack = np.where(end == whole, 0.01, DEVIATIONS * np.sqrt(SIMILAR * (100 - SIMILAR) / union) / 100)
+        return rows[both / union >= SIMILAR / 100 - slack]
+
+    def first_met(self, i: int, rows: np.ndarray, number: int) -> np.ndarray:
+        """Those of the rows that share no key of a lesser number with row i."""
+        same = (self.signature[rows] == self.signature[i]).reshape(-1, CHUNKS, WIDTH)
+        met = same.sum(axis=2) >= WIDTH - ERRORS
+        chunk = met.argmax(axis=1)
+        left_out = np.where(same[np.arange(len(rows)), chunk].all(axis=1), 0, (~same[np.arange(len(rows)), chunk]).argmax(axis=1))
+        return rows[chunk * WIDTH + left_out == number]
+
+
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (a, b))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _centred(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each key's least class by a hash with its classes of other components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # key, id, component and sets of the centre
+        for batch in batches:
+            key, ids, comp = (np.array(batch.column(k)) for k in ("key", "id", "component"))
+            if not len(key):
+                continue
+            known, a, b = Sets(batch), [], []
+            starts = _starts(key)
+            for s, e in zip(starts, np.append(starts[1:], len(key))):
+                if not (last and last[0] == key[s]):
+                    last = (key[s], ids[s], comp[s], known.row(s))
+                near = known.alike(last[3], s + np.flatnonzero(comp[s:e] != last[2]))
+                a.append(np.full(len(near), last[1]))
+                b.append(ids[near])
+            yield _pairs(a, b)
+
+    n = partitions(rows.sparkSession)
+    rows = rows.select("key", "id", "component", "n", "signature", "sketch").repartition(n, "key").sortWithinPartitions("key", F.xxhash64("id", "key"))
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _crossing(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of different components under one key that may reach the similarity; rows as of _mixed."""
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    rows = rows.join(mixed.select("key", blocks.alias("_blocks")), "key")
+    rows = rows.withColumn("_blocks", blocks)
     own = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "component", "id")
-    rows = rows.join(classes.select("id", "n", "signature"), "id")
-
-    def compare(ids: np.ndarray, comp: np.ndarray, size: np.ndarray, own: np.ndarray, cell: tuple[int, int], sig: np.ndarray) -> list[np.ndarray]:
-        out = []
-        for i in range(len(ids) - 1):
-            rest = slice(i + 1, None)
-            fit = comp[rest] != comp[i]
-            if cell[0] != cell[1]:
-                fit &= own[rest] != own[i]
-            fit &= 100 * np.minimum(size[rest], size[i]) >= SIMILAR * np.maximum(size[rest], size[i])
-            j = np.flatnonzero(fit) + i + 1
-            if len(j):
-                j = j[(sig[j] != sig[i]).sum(axis=1) <= NEAR]
-                out.append(np.stack([np.full(len(j), ids[i]), ids[j]]))
-        return out
+    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "component", "id", "n", "signature", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def give(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            key, x, y, own, comp, ids, size = (np.array(batch.column(k)) for k in ("key", "x", "y", "own", "component", "id", "n"))
-            sig = _matrix(batch.column("signature"))
+        def give(batch: pa.RecordBatch) -> pa.RecordBatch:
+            key, x, y, own, comp, ids = (np.array(batch.column(k)) for k in ("key", "x", "y", "own", "component", "id"))
+            known, a, b = Sets(batch), [], []
             starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
             for s, e in zip(starts, np.append(starts[1:], len(key))):
-                if found := compare(ids[s:e], comp[s:e], size[s:e], own[s:e], (x[s], y[s]), sig[s:e]):
-                    a, b = np.concatenate(found, axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                for i in range(s, e - 1):
+                    fit = comp[i + 1 : e] != comp[i]
+                    if x[s] != y[s]:
+                        fit &= own[i + 1 : e] != own[i]
+                    rest = i + 1 + np.flatnonzero(fit)
+                    if len(rest):
+                        near = known.alike(known.row(i), known.first_met(i, rest, int(key[s]) & _NUMBER))
+                        a.append(np.full(len(near), ids[i]))
+                        b.append(ids[near])
+            return _pairs(a, b)
 
         def whole() -> pa.RecordBatch:
             return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -264,13 +338,14 @@ def _crossing(keys: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
                 held.append(batch)
                 continue
             held.append(batch.slice(0, cut))
-            yield from give(whole()) if sum(b.num_rows for b in held) else ()
+            if sum(b.num_rows for b in held):
+                yield give(whole())
             held = [batch.slice(cut)]
         if held:
-            yield from give(whole())
+            yield give(whole())
 
-    n = partitions(keys.sparkSession)
-    rows = rows.select("key", "x", "y", "own", "component", "id", "n", "signature")
+    n = partitions(rows.sparkSession)
+    rows = rows.select("key", "x", "y", "own", "component", "id", "n", "signature", "sketch")
     return rows.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "id").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -278,8 +353,8 @@ def link(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links, itself included) and kept (doc_id =
     component_id) of every row.
 
-    Texts without words and null texts have an empty set and no link. Rows with equal doc_id belong together and each
-    get their row. A row with a null doc_id is linked with nothing: component_id null, kept true. similar must be 75 or
+    Texts without words and null texts have an empty set and no link. Repeated rows each get their row; rows
+    with one doc_id and different texts are judged each by its own text. A row with a null doc_id is linked with nothing: component_id null, kept true. similar must be 75 or
     more, for which the signature's size is chosen.
     """
     if similar < SIMILAR:
@@ -287,18 +362,19 @@ def link(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     spark, docs = docs.sparkSession, texts(docs)
     told = stored(describe(docs), "signatures")
     # one class for each set, named by its least document
-    grouped = told.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
+    grouped = told.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     classes = stored(grouped, "classes")
     live = stored(shared(index(classes)), "keys")
     pairs = live.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(confirm(pairs, classes, docs, similar), "links")
     labels = stored(components(links), "labels")
-    more = _crossing(live.select("key", "id"), labels, classes).join(pairs, ["a", "b"], "left_anti")
-    more = stored(more, "more")
-    if not more.isEmpty():
-        links = links.unionByName(stored(confirm(more, classes, docs, similar), "links"))
-        labels = stored(components(links), "labels")
-    # a document may stand in several classes if its id comes twice with different texts: its classes belong together
+    for more in (_centred, _crossing):
+        new = stored(more(_mixed(live.select("key", "id"), labels, classes)).join(pairs, ["a", "b"], "left_anti"), "more")
+        if not new.isEmpty():
+            pairs = pairs.unionByName(new)
+            links = links.unionByName(stored(confirm(new, classes, docs, similar), "links"))
+            labels = stored(components(links), "labels")
+    # a row whose set no class has can only be one without words
     named = told.where("doc_id is not null").join(classes.select("n", "d1", "d2", "id"), ["n", "d1", "d2"], "left").join(labels, "id", "left")
     named = named.select("doc_id", "n", F.coalesce("component", "id", "doc_id").alias("component_id"))
     named = named.unionByName(told.where("doc_id is null").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
@@ -309,5 +385,6 @@ def link(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
 def keep(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """One row of each component, with all its columns; rows with a null doc_id stay."""
     kept = link(docs, similar).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    once = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    known = docs.where("doc_id is not null")
+    once = known.join(kept, known["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(docs.where("doc_id is null"))
