@@ -2,8 +2,9 @@
 
 Plan: one pass hashes each text's words into a vector of BUCKETS counts, projects it to DIMS coordinates and reads its
 place on a Hilbert curve; one shuffle deals the texts out by ranges of that place; each range is sorted, encoded and
-cut into sequences as it streams by, so nothing but the open sequence is held. Range ends come from the keys of at most
-BOUNDS_ROWS documents chosen by a hash of the id: they move work between tasks, never rows in or out of the result.
+cut into sequences as it streams by, so nothing but the open sequence is held. Range ends come from the keys of about
+BOUNDS_ROWS documents chosen by a hash of the id, so that ranges have as much text: they move work between tasks, never
+rows in or out of the result.
 Equal keys (copies) are parted by a hash of doc_id, so a large group of copies spreads over ranges.
 """
 
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from .common import partitions, pieces, texts
 LENGTH, END_ID = 2048, 1
 BUCKETS, DIMS, BITS = 1024, 4, 12
 BOUNDS_ROWS = 20_000
+#: Bytes of text that a document's other costs amount to.
+OVERHEAD = 256
 #: Low bits of the sort key, from a hash of doc_id.
 TIE_BITS = 63 - DIMS * BITS
 
@@ -75,19 +79,19 @@ def _keys(ids: pa.Array, array: pa.Array) -> np.ndarray:
 
 
 def place(docs: DataFrame, bounds: np.ndarray | None) -> DataFrame:
-    """doc_id, text, key and the range `part` that the key falls into."""
+    """doc_id, text, key and the range `part` that the key falls into; without bounds the key and size of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in pieces(batch):
                 key = _keys(b.column("doc_id"), b.column("text"))
                 if bounds is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pc.binary_length(b.column("text")).cast(pa.int64())], ["key", "size"])
                 else:
                     part = pa.array(np.searchsorted(bounds, key, side="right").astype(np.int32))
                     yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(key), part], ["doc_id", "text", "key", "part"])
 
-    return docs.mapInArrow(run, "key long" if bounds is None else "doc_id long, text string, key long, part int")
+    return docs.mapInArrow(run, "key long, size long" if bounds is None else "doc_id long, text string, key long, part int")
 
 
 class Packer:
@@ -145,9 +149,9 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     n = partitions(spark)
     rows = docs.count()
     share = -(-rows // BOUNDS_ROWS) if rows else 1
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).limit(2 * BOUNDS_ROWS)
-    keys = np.sort(np.array([r[0] for r in place(sample, None).collect()], np.int64))
-    bounds = keys[(np.arange(1, n) * len(keys)) // n] if len(keys) else keys
+    sample = sorted(tuple(r) for r in place(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), None).collect())
+    keys, weight = np.array([k for k, _ in sample], np.int64), np.cumsum([size + OVERHEAD for _, size in sample])
+    bounds = keys[np.searchsorted(weight, np.arange(1, n) * weight[-1] / n)] if len(keys) else keys
     schema = SCHEMA + (", ids binary" if with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [*[pa.int64()] * 7, pa.binary()][: len(names)]
