@@ -135,7 +135,7 @@ def _chosen(spark, sf):
     return pages.select_pages(_request(spark, sf), src.doc_sizes(_docs(spark, sf)))
 
 
-@query(f"with {_ALL} select doc_id, page, width_pt / 2 - 48.0 * 12 * 0.3 as x, height_pt / 2 as y, 'CONFIDENTIAL' as mark, 0.8 as r, cast(0 as double) as g, cast(51 as double) / 255 as b from ({_SIZED} picked)")
+@query(f"with {_ALL} select doc_id, page, width_pt / 2 - 48.0::double * 12 * 0.3::double as x, height_pt / 2 as y, 'CONFIDENTIAL' as mark, cast(204 as double) / 255 as r, cast(0 as double) as g, cast(51 as double) / 255 as b from ({_SIZED} picked)")
 def watermark_text(spark, sf):
     rows = pages.watermark_text(_sized(src.doc_pages(_docs(spark, sf)).select("doc_id", "page")), _chosen(spark, sf), "CONFIDENTIAL", 48.0, "#CC0033")
     return rows.select("doc_id", "page", "box.x", "box.y", "mark", "colour.r", "colour.g", "colour.b")
