@@ -29,19 +29,22 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Letters of other scripts that look like ASCII ones, and characters that show nothing.
 LOOKALIKES = dict(zip("АВЕКМНОРСТХаеорсухіјѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧονѵ", "ABEKMHOPCTXaeopcyxijsdqwABEZHIKMNOPTYXovv", strict=True))
 INVISIBLE = set("­​‌‍⁠﻿")
+# Hyphens and a full stop of other blocks.
+LOOKALIKES |= dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "-") | {"\u3002": "."}
 # Spelled digits and the words for the two signs.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 AT, DOT = ("at", "arroba", "chez"), ("dot", "punto", "punkt", "point")
 # Last labels that make words with bare "at" and "dot" between them an address.
 LAST = ("com", "org", "net", "edu", "gov", "info", "io", "test", "example", "co", "uk", "de", "fr", "es", "it", "eu", "us")
 
-_ODD = re.compile("[^\x00-¬®-ɏ]|­")
+_ODD = re.compile("[^\x00-\x9f\xa1-\xac\xae-\u024f]")
 _DIGIT = re.compile("[0-9]")
 _WORD = "|".join(SPELLED)
-_RUN = re.compile(rf"(?<![A-Za-z])(?:plus[ -]+)?(?:{_WORD})(?:(?:[ .-]+|, )(?:{_WORD}|dot|point))*(?![A-Za-z])", re.I)
-_PART = re.compile(rf"plus|{_WORD}|dot|point", re.I)
+_TERM = rf"(?:(?:double|triple) )?(?:{_WORD})|[0-9]+"
+_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|\+)[ -]*)?(?:{_TERM})(?:(?:[ .-]|, )(?:{_TERM}|dot|point))+(?![A-Za-z0-9])", re.I)
+_PART = re.compile(rf"plus|\+|(?:(double|triple) )?({_WORD})|[0-9]+|dot|point", re.I)
 _OPEN, _SHUT = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
-_BRACKETS = [(re.compile(rf"\s{{0,3}}{_OPEN}(?:{'|'.join(words)}|{re.escape(sign)}){_SHUT}\s{{0,3}}", re.I), sign) for words, sign in ((AT, "@"), (DOT, "."))]
+_BRACKETS = [(re.compile(rf"\s{{0,3}}(?:{_OPEN}(?:{'|'.join(words)}|{re.escape(sign)}){_SHUT}|(?<=[A-Za-z0-9])([_-])(?:{'|'.join(words)})\1(?=[A-Za-z0-9]))\s{{0,3}}", re.I), sign) for words, sign in ((AT, "@"), (DOT, "."))]
 _SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ (?:{'|'.join(AT)}) [A-Za-z0-9-]+(?: (?:{'|'.join(DOT)}) [A-Za-z0-9-]+)* (?:{'|'.join(DOT)}) (?:{'|'.join(LAST)})(?![A-Za-z0-9-])", re.I)
 _SIGNS = re.compile(rf" (?:(?P<at>{'|'.join(AT)})|(?:{'|'.join(DOT)})) ", re.I)
 _HINTS = [w for w in SPELLED if w not in ("one", "oh")] + ["one one one"]
@@ -104,26 +107,32 @@ class Tape:
 
 
 def _fold(c: str) -> str:
-    """The ASCII character that c looks like, nothing for an invisible one, else c itself."""
+    """The ASCII character that c looks like or the digit it stands for, nothing for an invisible one, else c itself."""
     if c in INVISIBLE:
         return ""
     if c in LOOKALIKES:
         return LOOKALIKES[c]
+    digit = unicodedata.decimal(c, None)
+    if digit is not None:
+        return str(digit)
     plain = unicodedata.normalize("NFKC", c)
-    return plain if len(plain) == 1 and " " <= plain <= "~" and unicodedata.category(c) not in ("Zs", "Lm") else c
+    return plain if len(plain) == 1 and " " <= plain <= "~" and unicodedata.category(c) != "Lm" else c
 
 
-def _spelled(tape: Tape, least: int = 7) -> list[tuple[int, int, str]]:
-    """Edits for runs of spelled digits, each part on its own; a run needs `least` of them."""
+def _spelled(tape: Tape, least: int = 3) -> list[tuple[int, int, str]]:
+    """Edits for runs of spelled and plain digits, each part on its own; a run needs `least` spelled ones."""
     edits = []
     for m in _RUN.finditer(tape.text):
         parts = list(_PART.finditer(tape.text, *m.span()))
-        if sum(p[0].lower() in SPELLED for p in parts) < least:
+        if sum(p[2] is not None for p in parts) < least:
             continue
         for i, p in enumerate(parts):
-            word = p[0].lower()
+            if p[2]:
+                new = SPELLED[p[2].lower()] * {"double": 2, "triple": 3}.get((p[1] or "").lower(), 1)
+            else:
+                new = {"plus": "+", "dot": ".", "point": "."}.get(p[0].lower(), p[0])
             stop = parts[i + 1].start() if i + 1 < len(parts) else p.end()
-            edits += [(p.start(), p.end(), SPELLED.get(word, "+" if word == "plus" else "."))]
+            edits += [(p.start(), p.end(), new)] if new != p[0] else []
             edits += [(p.end(), stop, "")] if stop > p.end() else []
     return edits
 
@@ -132,7 +141,7 @@ def disguised(text: str, plain: list[Span]) -> list[Span]:
     """Spans that only show once the text is rewritten."""
     low = text.lower()
     odd = not text.isascii() and _ODD.search(text) is not None
-    spoken = any(w in low for w in DOT) or any(b + w in low or b + " " + w in low for w in AT for b in "[({<") or "(@" in low or "[@" in low
+    spoken = any(w in low for w in DOT) or any(b + w in low or b + " " + w in low for w in AT for b in "[({<") or "(@" in low or "[@" in low or "_at_" in low or "-at-" in low
     spelled = any(w in low for w in _HINTS)
     if not (odd or spoken or spelled):
         return []

@@ -88,7 +88,12 @@ def test_held_out_quality(spark, sf):
         ("card four one one one one one one one one one one one one one one one end", {"card:5:69"}),
         ("host 10.0.0.300 and 10.0.0.3", {"ip:20:28"}),
         ("host one nine two dot one six eight dot one dot two five", {"ip:5:56"}),
+        ("joe_at_mail_dot_example_dot_com", {"email:0:31"}),
+        ("＋１ ５５５ １２３ ４５６７", {"phone:0:15"}),
+        ("plus one 555 double two one four five six seven", {"phone:0:47"}),
+        ("+49–30–1234–5678", {"phone:0:16"}),
         ("look at the dot on the map", set()),
+        ("one of two or three, four at five and six - seven", set()),
         ("three or four of seven", set()),
         ("", set()),
     ],
