@@ -71,7 +71,8 @@ def parse(data: bytes | memoryview, offset: int = 0, stop: int | None = None) ->
 
 def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID) -> None:
     """Encodes every text (null: empty), appends end_id, and writes record files below out/records in ascending
-    doc_id, then the index out/index (shard, doc_id, offset, length, n_tokens) as Parquet.
+    doc_id; then reads the files back, checks every frame, and writes what it found as the index out/index, in Parquet:
+    shard, doc_id, offset, length, before (ids of the shard before the record), n_tokens, ids_crc32.
 
     Rows with equal doc_id give a record each, in the order of their texts. Rows with a null doc_id cannot be addressed
     and are not written. An empty table gives no files."""
@@ -87,7 +88,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_
 
     dealt = texts(docs).where("doc_id is not null").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(f"{out}/records")
-    read(spark, out).select("shard", "doc_id", "offset", "length", "n_tokens").write.parquet(f"{out}/index")
+    read(spark, out).write.parquet(f"{out}/index")
 
 
 def files(spark: SparkSession, out: str) -> DataFrame:
@@ -136,8 +137,9 @@ def fetch(spark: SparkSession, out: str, wanted: DataFrame) -> DataFrame:
 
 
 def numbered(spark: SparkSession, out: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each record as the files have them; start counts the ids of all
-    records before it, over all shards. The shards' totals come from the index, a row each."""
-    totals = spark.read.parquet(f"{out}/index").groupBy("shard").agg(F.sum("n_tokens").alias("_ids"))
+    """doc_id, start, n_tokens and ids_crc32 of each record as the files were read back into the index; start counts the
+    ids of all records before it, over all shards, whose totals are a row each."""
+    index = spark.read.parquet(f"{out}/index")
+    totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("_ids"))
     base = totals.select("shard", (F.sum("_ids").over(Window.orderBy("shard")) - F.col("_ids")).alias("_base"))
-    return read(spark, out).join(base, "shard").select("doc_id", (F.col("_base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return index.join(base, "shard").select("doc_id", (F.col("_base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
