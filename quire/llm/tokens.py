@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cached_property
 
 import numpy as np
 
@@ -116,7 +117,12 @@ class ByteEncoder:
     unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.merges = load(path), Merges(path, BYTE_PATTERN)
+        self.path, self.merges = path, Merges(path, BYTE_PATTERN)
+
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer, loaded by the first text that needs it."""
+        return load(self.path)
 
     @classmethod
     def shared(cls, path: str):
@@ -128,12 +134,16 @@ class ByteEncoder:
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _rest(self, texts: list[str], out: list[np.ndarray | None]) -> list[np.ndarray]:
+        """out with the library's ids where there are none."""
+        if rest := [i for i, x in enumerate(out) if x is None]:
+            for i, ids in zip(rest, self.library([texts[i] for i in rest]), strict=True):
+                out[i] = ids
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = [self.merges.encode(x) if plain(x, self.merges.special) else None for x in texts]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self.library([texts[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
+        return self._rest(texts, out)
 
 
 class WordEncoder(ByteEncoder):
@@ -142,7 +152,7 @@ class WordEncoder(ByteEncoder):
     def __init__(self, path: str):
         import regex
 
-        self.tokenizer, self.merges = load(path), Merges(path, WORD_PATTERN)
+        self.path, self.merges = path, Merges(path, WORD_PATTERN)
         self.parts = regex.compile(WORD_PATTERN)
         self.cache: dict[str, bytes] = {}
 
@@ -158,7 +168,4 @@ class WordEncoder(ByteEncoder):
         self.cache.update(zip(missing, self.merges.words([[x] if x.isalpha() else self.parts.findall(x) for x in low]), strict=True))
         get = self.cache.__getitem__
         out = [None if x is None else np.frombuffer(b"".join(map(get, x)), "<u4") for x in cut]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self.library([texts[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
+        return self._rest(texts, out)
