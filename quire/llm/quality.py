@@ -190,8 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> DecisionList:
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_quality"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(LABELLED)
     rows = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).join(F.broadcast(known), F.col("_doc") == F.col("_id"))
-    rows = rows.select("_id", "_quality", statistics(F.col("_text")).alias("s")).where(~base_failed(F.col("s")))
-    rows = stored(rows.select("_id", "_quality", *[c.alias(k) for k, c in features(F.col("s")).items()]), "labelled")
+    rows = rows.select("_id", "_quality", statistics(F.col("_text")).alias("s"))
+    # the filter comes after the table is written: before it, it would be pushed below the join and read all texts
+    rows = stored(rows.select("_id", "_quality", base_failed(F.col("s")).alias("_failed"), *[c.alias(k) for k, c in features(F.col("s")).items()]), "labelled").where("not _failed")
     share = [i / CUTS for i in range(1, CUTS)] + [0.97, 0.98, 0.99, 0.995]
     found = rows.agg(*[F.percentile_approx(k, share, 10_000).alias(k) for k in NAMES]).first()
     # a cut at a value, and one just above it, so that a value which many rows share can be parted from all greater ones
