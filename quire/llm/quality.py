@@ -69,6 +69,7 @@ def statistics(text: Column) -> Column:
             F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             _bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("all"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
             _repeats(words).cast("long").alias("n_repeat_words"),
+            F.size(F.array_distinct(words)).cast("long").alias("n_distinct"),
             F.regexp_count(text, F.lit("[!?]")).cast("long").alias("n_marks"),
             F.regexp_count(text, F.lit("[A-ZÀ-ÖØ-Þ]")).cast("long").alias("n_upper"),
         )
@@ -85,12 +86,13 @@ def features(s: Column) -> dict[str, Column]:
         "symbols_per_word": share(s["n_symbols"], s["n_words"]),
         "dup_line_share": share(s["lines"]["dup"], s["lines"]["all"]),
         "repeat_share": share(s["n_repeat_words"], s["n_words"]),
+        "words_per_distinct": share(s["n_words"], s["n_distinct"]),
         "marks_per_word": share(s["n_marks"], s["n_words"]),
         "upper_share": share(s["n_upper"], s["word_chars"]),
     }
 
 
-NAMES = ["words", "word_length", "symbols_per_word", "dup_line_share", "repeat_share", "marks_per_word", "upper_share"]
+NAMES = ["words", "word_length", "symbols_per_word", "dup_line_share", "repeat_share", "words_per_distinct", "marks_per_word", "upper_share"]
 
 
 def base_failed(s: Column) -> Column:
