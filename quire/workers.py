@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -15,10 +17,21 @@ def reach(spark: SparkSession) -> None:
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known.get("PYTHONPATH", "")]))
 
 
+def work_root(spark: SparkSession) -> str:
+    """This application's folder below the shared one that the cluster names, or below one of our own where none is."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("quire.work.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="quire-")
+        spark.conf.set("quire.work.dir", root)
+    return f"{root.rstrip('/')}/quire-{spark.sparkContext.applicationId}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the shared folder that the cluster names, or in one of our own where none is set."""
-    import tempfile
-    import uuid
+    """A new path in work_root()."""
+    return f"{work_root(spark)}/{uuid.uuid4().hex}"
+
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quire-")
-    return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
+def clean(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application. Call it once no DataFrame made from them is in use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

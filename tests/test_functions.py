@@ -214,3 +214,14 @@ def test_languages_fall_back(spark):
     some = spark.createDataFrame([("osd",), ("eng",)], "code string")
     assert [r[0] for r in requests.languages(some, ["heb"]).collect()] == ["eng"]
     assert [r[0] for r in requests.languages(some.where("code = 'osd'"), ["heb"]).collect()] == ["heb"]
+
+
+def test_clean_removes_intermediate_tables(spark):
+    from quire import workers
+
+    path = workers.shared_dir(spark)
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    workers.clean(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
