@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.workers import reach
+from quire.workers import reach, shared_dir
 
 #: Bytes of text that a Python worker works on at a time, whatever Spark's batch holds.
 CHUNK_BYTES = 2 << 20
@@ -21,21 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new path in the shared folder that the cluster names; one of our own only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("quire.work.dir", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="quire-")
-            spark.conf.set("quire.work.dir", root)
-    return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there and lost executors cost nothing."""
     reach(df.sparkSession)
-    path = f"{work_dir(df.sparkSession)}/{name}"
+    path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.workers import shared_dir
+
 from . import counts, neardup, packing, pii, quality, records, topk, toxicity, treebpe, warc
-from .common import table, work_dir
+from .common import table
 
 
 def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def op7_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = work_dir(spark)
+    out = shared_dir(spark)
     records.write(table(spark, sf_dir, "documents"), out)
     return records.numbered(spark, out)
 
