@@ -197,8 +197,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> DecisionList:
     rows = stored(rows.select("_id", "_quality", base_failed(F.col("s")).alias("_failed"), *[c.alias(k) for k, c in features(F.col("s")).items()]), "labelled").where("not _failed")
     share = [i / CUTS for i in range(1, CUTS)] + [0.97, 0.98, 0.99, 0.995]
     found = rows.agg(*[F.percentile_approx(k, share, 10_000).alias(k) for k in NAMES]).first()
-    # a cut at a value, and one just above it, so that a value which many rows share can be parted from all greater ones
-    cuts = [sorted({y for x in found[k] or [] for y in (x, math.nextafter(x, math.inf))}) for k in NAMES]
+    # cuts at values and half way to the next ones, so that a value which many rows share is parted from greater ones
+    # by a margin
+    cuts = []
+    for k in NAMES:
+        seen = sorted(set(found[k] or []))
+        cuts.append(sorted({*seen, *((x + y) / 2 for x, y in zip(seen, seen[1:]))}))
     below = lambda k: lambda x: x <= F.col(k)
     cell = [F.size(F.filter(F.lit(c), below(k))) if c else F.lit(0) for k, c in zip(NAMES, cuts, strict=True)]
     third = (F.pmod(F.xxhash64("_id", F.lit("prune")), F.lit(3)) == 0).alias("prune")
