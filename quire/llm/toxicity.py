@@ -26,8 +26,8 @@ from .common import pieces, reach, texts
 #: The fit looks at so many positive and unlabelled documents at most, the first by a hash of doc_id.
 POSITIVE, UNLABELLED = 4_000, 8_000
 #: Size of the hashed feature space, features kept, positives that a feature must come in, and by how many standard
-#: errors its share of them must exceed that of unlabelled texts.
-SPACE_BITS, FEATURES, SEEN, SIGNIFICANT = 18, 1024, 3, 3.0
+#: errors and how many times its share of them must exceed that of unlabelled texts.
+SPACE_BITS, FEATURES, SEEN, SIGNIFICANT, LIFT = 18, 1024, 3, 3.0, 2.0
 PREFIXES = (4, 5, 6)
 STEPS, RATE, DECAY = 400, 0.1, 1e-4
 FOLDS = 5
@@ -72,19 +72,40 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
+def founders(rows: list[np.ndarray], bands: int = 6, width: int = 3) -> list[np.ndarray]:
+    """The first row of each family of near copies: a row goes if a band of `width` of its least hashes equals one of a
+    row that stays. Else the words of a text that was copied often would pass for signs of its label."""
+    times = np.random.default_rng(11).integers(0, 2**63, bands * width, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+    seen: set[tuple] = set()
+    kept = []
+    for row in rows:
+        if not len(row):
+            kept.append(row)
+            continue
+        least = (hashing.mix(row.astype(np.uint64))[:, None] * times).min(axis=0).reshape(bands, width)
+        keys = [(i, *band) for i, band in enumerate(least.tolist())]
+        if seen.isdisjoint(keys):
+            seen.update(keys)
+            kept.append(row)
+    return kept
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Fits the risk above by Adam on all rows at once; each row is the array of its distinct feature numbers."""
+    """Fits the risk above by Adam on all rows at once; each row is the array of its distinct feature numbers. Features
+    are chosen by the founders of families, weights by all rows, whose shares the prior speaks of."""
     size = 2**SPACE_BITS
     df_p, df_u = np.zeros(size), np.zeros(size)
-    for df, part in ((df_p, positive), (df_u, unlabelled)):
+    first = [founders(positive), founders(unlabelled)]
+    for df, part in zip((df_p, df_u), first, strict=True):
         for x in part:
             df[x] += 1  # a row's numbers are distinct
-    n, m = max(len(positive), 1), max(len(unlabelled), 1)
+    n, m = (max(len(part), 1) for part in first)
     p, u = (df_p + 0.5) / (n + 1), (df_u + 0.5) / (m + 1)
     z = (p - u) / np.sqrt(p * (1 - p) / n + u * (1 - u) / m)
     z[df_p < min(SEEN, n)] = 0
     chosen = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[z[chosen] > SIGNIFICANT])
+    chosen = np.sort(chosen[(z[chosen] > SIGNIFICANT) & (p[chosen] > LIFT * u[chosen])])
+    n, m = max(len(positive), 1), max(len(unlabelled), 1)
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
     rows = [*positive, *unlabelled]
