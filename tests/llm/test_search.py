@@ -72,7 +72,7 @@ def brute_components(docs):
 
     for i, (a, s) in enumerate(sets):
         for b, t in sets[:i]:
-            if s and t and 100 * len(s & t) >= 75 * len(s | t):
+            if s and t and 4 * min(len(s), len(t)) >= 3 * max(len(s), len(t)) and 100 * len(s & t) >= 75 * len(s | t):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return sorted((d, len(s), find(d), find(d) == d) for d, s in sets)
