@@ -3,7 +3,8 @@
 Base patterns run on the text as it is. Then transducers rewrite a copy - look-alike and full-width characters to ASCII,
 invisible characters to nothing, spelled digits to digits, "at" and "dot" in words or brackets to @ and . - and each
 character of the copy carries the source range that it came from. Identifiers found in the copy whose range was
-rewritten are mapped back and added, unless they overlap a base span. Base spans stay as they are.
+rewritten are mapped back and added, unless a base span of their kind covers them whole. Base spans stay as they are; an
+added span may overlap one, as where the pattern sees only the plain end of a disguised address.
 """
 
 from __future__ import annotations
@@ -162,14 +163,12 @@ def disguised(text: str, plain: list[Span]) -> list[Span]:
             tape.rewrite(edits)
     if not any(tape.changed) and len(tape.text) == len(text):
         return []
-    taken = sorted((a, b) for _, a, b in plain)
-    out = []
+    out: list[Span] = []
     for kind, a, b in base(tape.text):
         source = tape.begin[a], tape.end[b - 1]
         rewritten = any(tape.changed[a:b]) or source[1] - source[0] != b - a
-        if rewritten and not any(x < source[1] and source[0] < y for x, y in taken):
+        if rewritten and not any(k == kind and x <= source[0] and source[1] <= y for k, x, y in [*plain, *out]):
             out.append((kind, *source))
-            taken.append(source)
     return out
 
 

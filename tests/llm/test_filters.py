@@ -105,6 +105,21 @@ def test_disguises(text, found):
     assert found <= got if found else not got
 
 
+@pytest.mark.parametrize(
+    ("text", "base", "added"),
+    [
+        ("write jo\u043ee@mail.example.com now", ("email", 9, 27), ("email", 6, 27)),
+        ("write jo\u200be@mail.example.com now", ("email", 9, 27), ("email", 6, 27)),
+        ("write joe@mail.example[dot]com now", ("email", 6, 22), ("email", 6, 30)),
+    ],
+)
+def test_partly_disguised(text, base, added):
+    """A base span of a part stays, and the whole is added beside it and masked."""
+    plain, every = pii.find(text)
+    assert plain == [base] and set(every) == {base, added}
+    assert pii.redact(text, every) == "write <EMAIL> now"
+
+
 def test_base_spans_equal_patterns(spark, texts, sf, odd, empty):
     def brute(text):
         out = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
