@@ -1,7 +1,7 @@
 """Personal data, also in disguise, with spans in the source's own code points.
 
 Base patterns run on the text as it is. Then transducers rewrite a copy - look-alike and full-width characters to ASCII,
-invisible characters to nothing, spelled digits to digits, "at" and "dot" in words or brackets to @ and . - and each
+invisible characters to nothing, spelled digits to digits, "at" and "dot" in words or brackets, each on its own, to @ and . - and each
 character of the copy carries the source range that it came from. Identifiers found in the copy whose range was
 rewritten are mapped back and added, unless a base span of their kind covers them whole. Base spans stay as they are; an
 added span may overlap one, as where the pattern sees only the plain end of a disguised address.
@@ -35,8 +35,14 @@ LOOKALIKES |= dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "-") |
 # Spelled digits and the words for the two signs.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 AT, DOT = ("at", "arroba", "chez"), ("dot", "punto", "punkt", "point")
-# Last labels that make words with bare "at" and "dot" between them an address.
-LAST = ("com", "org", "net", "edu", "gov", "info", "io", "test", "example", "co", "uk", "de", "fr", "es", "it", "eu", "us")
+# Last labels of three letters or more that hold after words for a dot which are common words too.
+LAST = ("com", "org", "net", "edu", "gov", "info", "test", "example")
+POINTS = ("punto", "punkt", "point")
+# Context that makes "at" and "dot" ordinary words. Words that are no last label, determiners that are no
+# first label after a bare "at", and words before a bare "at" whose object is a site.
+NO_LAST = frozenset("the and or of on if we he she you they this that these those with from for not but then than when where while which who what was were are has have had will would can could should did does our your his her their its all only".split())
+NO_FIRST = frozenset("the this that these those some any each every no which what another his her their its our your my www".split())
+NO_LOCAL = frozenset("look looking looked available found us them him it is are was were be hosted live page site website online visit visited posted published see seen only here more and or read click order buy".split())
 
 _ODD = re.compile("[^\x00-\x9f\xa1-\xac\xae-\u024f]")
 _DIGIT = re.compile("[0-9]")
@@ -46,8 +52,14 @@ _RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|\+)[ -]*)?(?:{_TERM})(?:(?:[ .-]
 _PART = re.compile(rf"plus|\+|(?:(double|triple) )?({_WORD})|[0-9]+|dot|point", re.I)
 _OPEN, _SHUT = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _BRACKETS = [(re.compile(rf"\s{{0,3}}(?:{_OPEN}(?:{'|'.join(words)}|{re.escape(sign)}){_SHUT}|(?<=[A-Za-z0-9])([_-])(?:{'|'.join(words)})\1(?=[A-Za-z0-9]))\s{{0,3}}", re.I), sign) for words, sign in ((AT, "@"), (DOT, "."))]
-_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ (?:{'|'.join(AT)}) [A-Za-z0-9-]+(?: (?:{'|'.join(DOT)}) [A-Za-z0-9-]+)* (?:{'|'.join(DOT)}) (?:{'|'.join(LAST)})(?![A-Za-z0-9-])", re.I)
-_SIGNS = re.compile(rf" (?:(?P<at>{'|'.join(AT)})|(?:{'|'.join(DOT)})) ", re.I)
+_AT = re.compile(rf" (?:{'|'.join(AT)}|@) |@", re.I)
+_STOP = rf" (?P<word>{'|'.join(DOT)}) |\."
+_LABEL = re.compile("[A-Za-z0-9-]+")
+_NEXT = re.compile(rf"(?:{_STOP})(?P<label>[A-Za-z0-9-]+)", re.I)
+_BEFORE = re.compile(rf" (?:{'|'.join(w[::-1] for w in DOT)}) (?=[A-Za-z0-9._%+-])", re.I)
+_NAME = re.compile(r"[A-Za-z0-9._%+-]+")
+_ALPHA = re.compile(r"[A-Za-z]{2,}")
+_SPEECH = re.compile(rf"{_OPEN}(?:{'|'.join(AT)}|@|\.){_SHUT}|[_-](?:{'|'.join(AT)})[_-]| (?:{'|'.join(AT)}|@) [A-Za-z0-9-]+\.[A-Za-z0-9]", re.I)
 _HINTS = [w for w in SPELLED if w not in ("one", "oh")] + ["one one one"]
 
 Span = tuple[str, int, int]
@@ -138,11 +150,77 @@ def _spelled(tape: Tape, least: int = 3) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _speech(text: str) -> bool:
+    """Whether the text may have a sign of an address in words, brackets or spaces."""
+    low = text.lower()
+    return any(w in low for w in DOT) or _SPEECH.search(text) is not None
+
+
+def _domain(text: str, at: int, bare: bool) -> tuple[list[tuple[int, int, str]], int, bool]:
+    """Edits for the words for dots in the domain at `at`, its end (0: there is none) and whether it has such words. The
+    domain ends after the last label that can be a last one."""
+    first = _LABEL.match(text, at)
+    if not first:
+        return [], 0, False
+    edits: list[tuple[int, int, str]] = []
+    good, top, known, n, stop = 0, "", False, 0, first.end()
+    while m := _NEXT.match(text, stop):
+        label, word = m["label"], (m["word"] or "").lower()
+        low = label.lower()
+        if word and known and len(low) != 2 and low not in LAST:
+            break
+        if word:
+            edits.append((m.start(), m.start("label"), "."))
+        stop = m.end()
+        known = low in LAST[:5]
+        fits = not word or low in LAST or low not in NO_LAST and low not in NO_FIRST and (len(low) == 2 or word not in POINTS)
+        if _ALPHA.fullmatch(label) and fits and not (bare and not word and label.istitle()):
+            good, n, top = stop, len(edits), low
+    if bare and first[0].lower() in NO_FIRST and not (n and top in LAST):
+        return [], 0, False
+    return edits[:n], good, n > 0
+
+
+def _spoken(tape: Tape) -> list[tuple[int, int, str]]:
+    """Edits for addresses with "at" or "dot" as bare words, each of the two on its own: the other one may be a word or
+    the sign itself. Dots in words count before the sign too."""
+    text, edits, done = tape.text, [], 0
+    turned = text[::-1] if any(w in text.lower() for w in DOT) else ""
+    for m in _AT.finditer(text):
+        a, b = m.span()
+        bare = b - a > 1
+        if a < done:
+            continue
+        dots, end, worded = _domain(text, b, bare)
+        if not end:
+            continue
+        start, before = a, []
+        while start > done and _NAME.match(text, start - 1):
+            start -= 1
+        local = text[start:a]
+        if not local or bare and not worded and (local.lower() in NO_LOCAL or text.startswith("/", end)):
+            continue
+        while turned and start > done and (w := _BEFORE.match(turned, len(text) - start)):
+            new = len(text) - w.end()
+            begin = new
+            while begin > done and _NAME.match(text, begin - 1):
+                begin -= 1
+            word = text[begin:new].lower()
+            if begin == new or word in NO_LAST or word in NO_FIRST:
+                break
+            before.append((new, start, "."))
+            start = begin
+        new = [*before[::-1], *([(a, b, "@")] if bare else []), *dots]
+        edits += new
+        done = end if new else done
+    return edits
+
+
 def disguised(text: str, plain: list[Span]) -> list[Span]:
     """Spans that only show once the text is rewritten."""
     low = text.lower()
     odd = not text.isascii() and _ODD.search(text) is not None
-    spoken = any(w in low for w in DOT) or any(b + w in low or b + " " + w in low for w in AT for b in "[({<") or "(@" in low or "[@" in low or "_at_" in low or "-at-" in low
+    spoken = _speech(text)
     spelled = any(w in low for w in _HINTS)
     if not (odd or spoken or spelled):
         return []
@@ -152,14 +230,14 @@ def disguised(text: str, plain: list[Span]) -> list[Span]:
         if edits:
             tape.rewrite(edits)
             low = tape.text.lower()
-            spoken, spelled = spoken or any(w in low for w in DOT), spelled or any(w in low for w in _HINTS)
+            spoken, spelled = spoken or _speech(tape.text), spelled or any(w in low for w in _HINTS)
     if spelled and (edits := _spelled(tape)):
         tape.rewrite(edits)
     if spoken:
         for pattern, sign in _BRACKETS:
             if edits := [(*m.span(), sign) for m in pattern.finditer(tape.text)]:
                 tape.rewrite(edits)
-        if edits := [(*s.span(), "@" if s["at"] else ".") for m in _SPOKEN.finditer(tape.text) for s in _SIGNS.finditer(tape.text, *m.span())]:
+        if edits := _spoken(tape):
             tape.rewrite(edits)
     if not any(tape.changed) and len(tape.text) == len(text):
         return []

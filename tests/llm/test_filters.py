@@ -120,6 +120,38 @@ def test_partly_disguised(text, base, added):
     assert pii.redact(text, every) == "write <EMAIL> now"
 
 
+@pytest.mark.parametrize(
+    "address",
+    [
+        "joe at example.com",
+        "joe at mail.example.ch",
+        "joe [at] example dot com",
+        "joe at example[dot]com",
+        "joe at example[.]com",
+        "joe@example dot com",
+        "joe@mail.example dot com",
+        "joe @ example dot com",
+        "joe_at_example dot com",
+        *(f"joe at mail dot example dot {x}" for x in ("ch", "nl", "ca", "biz", "at", "in", "museum")),
+        "joe chez exemple point ch",
+        "joe dot smith at example dot co dot uk",
+        "JOE AT EXAMPLE DOT COM",
+        "j\u043ee at example.com",
+    ],
+)
+def test_spoken_signs(address):
+    """Each sign is found in words, in brackets or as it is, before any last label."""
+    assert f"email:6:{6 + len(address)}" in pii.joined(pii.find(f"write {address}, now")[1])
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["at this point in time", "look at the dot on the map", "look at example.com now", "he was at home.Then he left", "go to us at www.example.com", "some at gun point she", "joe at example.com/page", "at 3.5 or at 4.25", "up at that point the"],
+)
+def test_plain_words_are_no_address(text):
+    assert not pii.find(text)[1]
+
+
 def test_base_spans_equal_patterns(spark, texts, sf, odd, empty):
     def brute(text):
         out = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
