@@ -102,3 +102,12 @@ select doc_id, page, array_to_string(list_transform(list_transform({_LINES}, lam
 from (select doc_id, page, string_split_regex(r, '\r\n|[\n\x0b\f\r\x85\x{{2028}}\x{{2029}}]') as l from t)""")
 def translate_clean(spark, sf):
     return translation.clean(src.doc_pages(_docs(spark, sf)).where("page <= 2"), _stub, "iw")
+
+
+@query(rf"""with {_PAGES}, p as (select doc_id, page, {_strip('text')} as text from doc_pages), t as (select *, coalesce({_STUB}, text) as r from p where text <> '')
+select doc_id, page, array_to_string(list_transform(list_transform({_LINES}, lambda x: x[1]),
+  lambda y: case when {_strip('y')} = '' then y else array_to_string(list_reverse(list_filter(string_split_regex(y, '\s+'), lambda w: w <> '')), ' ') end), chr(10)) as text
+from (select doc_id, page, string_split_regex(r, '\r\n|[\n\x0b\f\r\x85\x{{2028}}\x{{2029}}]') as l from t)""")
+def translate_clean_all(spark, sf):
+    """translate_clean over every page."""
+    return translation.clean(src.doc_pages(_docs(spark, sf)), _stub, "iw")
