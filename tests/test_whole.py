@@ -12,3 +12,14 @@ def test_every_page_is_translated(spark, sf, duck):
     pages = {(d, i + 1) for d, t in _texts(duck).items() for i in range((max(len(t), 1) - 1) // 1000 + 1) if t[i * 1000 : i * 1000 + 1000].strip()}
     assert {(r["doc_id"], r["page"]) for r in service.translate_clean_all(spark, sf).select("doc_id", "page").collect()} == pages
     assert max(p for _, p in pages) > 2
+
+
+def test_long_blocks_have_overlays(spark, sf, duck):
+    def tr(x):
+        parts = service._stub_slices([x[i : i + TRANSLATE_CHARS] for i in range(0, len(x), TRANSLATE_CHARS)])
+        return None if None in parts else " ".join(parts)
+
+    blocks = {(d, k + 1): x.strip() for d, t in _texts(duck).items() for k, x in enumerate(t.split("\n")) if len(x.strip()) >= 2}
+    want = {k: tr(x) for k, x in blocks.items() if tr(x) not in (None, x)}
+    got = {(r["doc_id"], r["block"]): r["result"] for r in service.translate_overlay_all(spark, sf).collect()}
+    assert got == want and any(len(blocks[k]) > TRANSLATE_CHARS for k in got)
