@@ -23,3 +23,8 @@ def test_long_blocks_have_overlays(spark, sf, duck):
     want = {k: tr(x) for k, x in blocks.items() if tr(x) not in (None, x)}
     got = {(r["doc_id"], r["block"]): r["result"] for r in service.translate_overlay_all(spark, sf).collect()}
     assert got == want and any(len(blocks[k]) > TRANSLATE_CHARS for k in got)
+
+
+def test_every_language_code_is_checked(spark, sf, duck):
+    got = {r["doc_id"]: r["valid"] for r in catalogue.language_validation_all(spark, sf).collect()}
+    assert got == {d: d % 5 != 1 for d in _texts(duck)}
