@@ -196,6 +196,15 @@ def searchable_layer(spark, sf):
     return pages.search_layer(p, r)
 
 
+@query(f"""with {_PAGES}, r as (select doc_id, page, 1 as seq, text from doc_pages union all select doc_id, page, 2, case when page % 3 = 0 then '  ' else 'OCR ' || text end from doc_pages where doc_id % 2 = 0),
+l as (select *, row_number() over (partition by doc_id, page order by seq desc) as k from r) select doc_id, page, 10 as x, 20 as y, 1 as size, text from l where k = 1 and {_strip('text')} <> ''""")
+def searchable_layer_all(spark, sf):
+    """searchable_layer with each page's whole text; the second text has a word before it."""
+    p = src.doc_pages(_docs(spark, sf))
+    r = p.selectExpr("doc_id", "page", "1 as seq", "text").unionAll(p.where("doc_id % 2 = 0").selectExpr("doc_id", "page", "2", "case when page % 3 = 0 then '  ' else 'OCR ' || text end"))
+    return pages.search_layer(p, r)
+
+
 @query(f"with {_ALL} select doc_id, ordinal, page, cast(ceil(width_pt * 150 / 72) as bigint) as width_px, cast(ceil(height_pt * 150 / 72) as bigint) as height_px, 'doc' || doc_id || '_page' || ordinal || '.png' as name from ({_SIZED} picked)")
 def render_sizes(spark, sf):
     return pages.render_sizes(_sized(src.doc_pages(_docs(spark, sf)).select("doc_id", "page")), _chosen(spark, sf), 150)

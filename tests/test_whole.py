@@ -28,3 +28,14 @@ def test_long_blocks_have_overlays(spark, sf, duck):
 def test_every_language_code_is_checked(spark, sf, duck):
     got = {r["doc_id"]: r["valid"] for r in catalogue.language_validation_all(spark, sf).collect()}
     assert got == {d: d % 5 != 1 for d in _texts(duck)}
+
+
+def test_layer_has_whole_pages(spark, sf, duck):
+    got = {(r["doc_id"], r["page"]): r["text"] for r in catalogue.searchable_layer_all(spark, sf).collect()}
+    want = {}
+    for d, t in _texts(duck).items():
+        for i in range((max(len(t), 1) - 1) // 1000 + 1):
+            x = t[i * 1000 : i * 1000 + 1000]
+            x = x if d % 2 else "  " if (i + 1) % 3 == 0 else "OCR " + x
+            want |= {(d, i + 1): x} if x.strip() else {}
+    assert got == want and max(map(len, got.values())) > 40
