@@ -1,5 +1,7 @@
 """Queries that do the whole job, without the cuts that the queries of shorter names share with their SQL."""
 
+import duckdb
+
 from quire.functions.text import TRANSLATE_CHARS
 from quire.plans import catalogue, service
 
@@ -14,15 +16,21 @@ def test_every_page_is_translated(spark, sf, duck):
     assert max(p for _, p in pages) > 2
 
 
-def test_long_blocks_have_overlays(spark, sf, duck):
+def test_long_blocks_have_overlays(spark, tmp_path):
     def tr(x):
         parts = service._stub_slices([x[i : i + TRANSLATE_CHARS] for i in range(0, len(x), TRANSLATE_CHARS)])
         return None if None in parts else " ".join(parts)
 
-    blocks = {(d, k + 1): x.strip() for d, t in _texts(duck).items() for k, x in enumerate(t.split("\n")) if len(x.strip()) >= 2}
+    path = f"{tmp_path}/documents.parquet"
+    lengths = [4500, 4501, 4502, 4507, 9001, 9003, 13_502, 13_510]
+    spark.createDataFrame([(i, "short line\n" + f"{i} word "[:5] * 3000) for i in range(3)] + [(10 + n, ("ab" * n)[:n] + "\nb") for n in lengths], "doc_id long, text string").coalesce(1).write.parquet(path)
+    blocks = {(r["doc_id"], k + 1): x.strip() for r in spark.read.parquet(path).collect() for k, x in enumerate(r["text"].split("\n")) if len(x.strip()) >= 2}
     want = {k: tr(x) for k, x in blocks.items() if tr(x) not in (None, x)}
-    got = {(r["doc_id"], r["block"]): r["result"] for r in service.translate_overlay_all(spark, sf).collect()}
-    assert got == want and any(len(blocks[k]) > TRANSLATE_CHARS for k in got)
+    got = {(r["doc_id"], r["block"]): r["result"] for r in service.translate_overlay_all(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{path}/*.parquet'")
+    sql = {(d, k): x for d, k, x in con.execute(f"select doc_id, block, result from ({catalogue.ORACLES['translate_overlay_all']})").fetchall()}
+    assert got == want == sql and sum(len(blocks[k]) > TRANSLATE_CHARS for k in got) > 4
 
 
 def test_every_language_code_is_checked(spark, sf, duck):
