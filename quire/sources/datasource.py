@@ -67,11 +67,14 @@ class Writer(DataSourceWriter):
         return Written(names)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        names = [n.rpartition(".")[0] for m in messages if m for n in m.names]
+        if len(set(names)) < len(names):
+            raise ValueError("a document's rows are in more than one partition, or not together in one: repartition by doc_id and sort")
         for name in (n for m in messages if m for n in m.names):
             os.replace(os.path.join(self.folder, name), os.path.join(self.folder, name[1:].rpartition(".")[0]))
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        for name in (n for m in messages if m for n in m.names):
+        for name in {n for m in messages if m for n in m.names}:
             os.unlink(os.path.join(self.folder, name))
 
 

@@ -62,11 +62,11 @@ def payment_orders(orders: DataFrame) -> DataFrame:
 
 
 def order_events(orders: DataFrame) -> DataFrame:
-    """order_id, seq, event: create, then what gateway and browser report, made from the key."""
+    """order_id, seq, event, at: create, then what gateway and browser report, made from the key, all on the order's day."""
     kinds = F.expr("""case when o_orderkey % 5 = 0 then array('create', 'notify_ok', 'notify_ok', 'success')
         when o_orderkey % 5 = 1 then array('create', 'fail') when o_orderkey % 5 = 2 then array('create', 'notify_bad', 'success')
         when o_orderkey % 5 = 3 then array('create', 'notify_ok', 'fail') else array('create') end""")
-    return orders.select(F.col("o_orderkey").alias("order_id"), F.posexplode(kinds).alias("seq", "event")).select("order_id", F.col("seq").cast("long").alias("seq"), "event")
+    return orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("at"), F.posexplode(kinds).alias("seq", "event")).select("order_id", F.col("seq").cast("long").alias("seq"), "event", "at")
 
 
 def subscriptions(orders: DataFrame) -> DataFrame:

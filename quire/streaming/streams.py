@@ -2,7 +2,8 @@
 
 Each function builds the streaming plan and runs it to the end of the files at hand (Trigger.AvailableNow) into the
 shared folder, so that its rows can be compared with a batch query; a service would start the same plan with a
-processing-time trigger. State is bounded by a watermark wherever events carry a time.
+processing-time trigger. All state is bounded by a watermark of LATE: what comes later than that, after a micro-batch
+with newer events, is left out. Days and hours go by UTC.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from quire.sources import tables
 from quire.workers import shared_dir
 
 CLEANUP_SECONDS = 300
-LATE = "40 days"  # the files at hand come in no order of time
+#: How late an event may come; state older than that is dropped.
+LATE = "1 day"
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,15 +26,17 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def run(stream: DataFrame, key: list[str], mode: str = "append", merge=None) -> DataFrame:
     """Runs a stream to its end. Each micro-batch is written under its number, so one that is repeated after a failure
-    replaces itself; the result is the last row of each key, or all rows in append mode."""
+    replaces itself; the result is the last row of each key, or all rows in append mode; none where there is no input."""
     spark, out = stream.sparkSession, shared_dir(stream.sparkSession)
+    schema = stream.withColumn("_batch", F.lit(0)).schema
+    spark.createDataFrame([], schema).write.parquet(f"{out}/rows/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    rows = spark.read.schema(stream.withColumn("_batch", F.lit(0)).schema).parquet(f"{out}/rows/*")
+    rows = spark.read.schema(schema).parquet(f"{out}/rows/*")
     if mode == "append":
         return rows.drop("_batch")
     value = [c for c in rows.columns if c not in (*key, "_batch")]
@@ -44,9 +48,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, day, n: the usage counter as updates of keyed state."""
-    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
-    return run(_events(spark, sf_dir).groupBy("user_id", day).agg(F.count("*").alias("n")), ["user_id", "day"], "update")
+    """user_id, day, n: the usage counter as updates of windowed state."""
+    days = _events(spark, sf_dir).withWatermark("ts", LATE).groupBy("user_id", F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+    return run(days.select("user_id", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n"), ["user_id", "day"], "update")
 
 
 def hourly_rate(spark: SparkSession, sf_dir: str, per_hour: int) -> DataFrame:
@@ -64,6 +68,6 @@ def expiry(spark: SparkSession, sf_dir: str, now: str) -> DataFrame:
 
 def first_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order_id, activations: repeated gateway notices of an order activate it once."""
-    events = tables.order_events(source(spark, sf_dir, "orders")).where("event = 'notify_ok'")
-    once = events.select(F.concat(F.lit("o"), F.col("order_id").cast("string")).alias("order_id")).dropDuplicates(["order_id"])
-    return run(once.withColumn("activations", F.lit(1).cast("long")), ["order_id"])
+    events = tables.order_events(source(spark, sf_dir, "orders")).where("event = 'notify_ok'").withColumn("at", F.col("at").cast("timestamp"))
+    once = events.select(F.concat(F.lit("o"), F.col("order_id").cast("string")).alias("order_id"), "at").withWatermark("at", LATE).dropDuplicatesWithinWatermark(["order_id"])
+    return run(once.select("order_id", F.lit(1).cast("long").alias("activations")), ["order_id"])

@@ -18,9 +18,13 @@ def reach(spark: SparkSession) -> None:
 
 
 def work_root(spark: SparkSession) -> str:
-    """This application's folder below the shared one that the cluster names, or below one of our own where none is."""
+    """This application's folder below the shared one that the cluster names. Where none is named, below a temporary folder
+    of this machine, but only if all of Spark runs on it: executors elsewhere would each write to a disk of their own."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("quire.work.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master.partition("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share; the master is {master}")
         root = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("quire.work.dir", root)
     return f"{root.rstrip('/')}/quire-{spark.sparkContext.applicationId}"
