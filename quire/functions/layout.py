@@ -10,6 +10,12 @@ PAGE_SIZES = {"A4": (595, 842), "Letter": (612, 792), "Legal": (612, 1008), "A3"
 # Bits of the PDF permission mask.
 PERMISSIONS = {"accessibility": 512, "print": 4, "print_hq": 2048, "copy": 16, "modify": 8, "annotate": 32}
 EMU_PER_INCH = 914400
+# A text watermark's width of a character, an image watermark's edges, a signature's width, height and the
+# places of its text and date, an overlay's least and greatest font and its share of a line.
+MARK_CHAR = 0.3
+MARK_EDGES = (0.3, 0.7)
+SIGN_WIDTH, SIGN_HEIGHT, SIGN_LEFT, SIGN_TEXT, SIGN_DATE = 0.25, 40, 6, 30, 54
+FONT_LEAST, FONT_MOST, FONT_SHARE = 7.0, 13.0, 0.75
 
 
 def pixels(points: Column, dpi: Column) -> Column:
@@ -33,19 +39,20 @@ def fit_rect(w: Column, h: Column, width: Column, height: Column) -> Column:
 
 def text_mark_anchor(width: Column, height: Column, font_size: Column, text: Column) -> Column:
     """Where a centred text watermark begins."""
-    return F.struct((width / 2 - font_size * F.length(text) * 0.3).alias("x"), (height / 2).alias("y"))
+    return F.struct((width / 2 - font_size * F.length(text) * MARK_CHAR).alias("x"), (height / 2).alias("y"))
 
 
 def image_mark_rect(width: Column, height: Column) -> Column:
     """The centred box of an image watermark: two fifths of the page each way."""
-    return F.struct((width * 0.3).alias("x0"), (height * 0.3).alias("y0"), (width * 0.7).alias("x1"), (height * 0.7).alias("y1"))
+    low, high = MARK_EDGES
+    return F.struct((width * low).alias("x0"), (height * low).alias("y0"), (width * high).alias("x1"), (height * high).alias("y1"))
 
 
 def signature(width: Column, height: Column, x: Column, y: Column) -> Column:
     """A signature box at the fractions x, y of the page, with the anchors of its text and of its date."""
     left, top = width * x, height * y
-    box = [left.alias("x0"), top.alias("y0"), (left + width * 0.25).alias("x1"), (top + 40).alias("y1")]
-    return F.struct(*box, (left + 6).alias("text_x"), (top + 30).alias("text_y"), (left + 6).alias("date_x"), (top + 54).alias("date_y"))
+    box = [left.alias("x0"), top.alias("y0"), (left + width * SIGN_WIDTH).alias("x1"), (top + SIGN_HEIGHT).alias("y1")]
+    return F.struct(*box, (left + SIGN_LEFT).alias("text_x"), (top + SIGN_TEXT).alias("text_y"), (left + SIGN_LEFT).alias("date_x"), (top + SIGN_DATE).alias("date_y"))
 
 
 def signature_page(page: Column, n: Column) -> Column:
@@ -54,7 +61,7 @@ def signature_page(page: Column, n: Column) -> Column:
 
 
 def overlay_font_size(height: Column, n_lines: Column) -> Column:
-    return F.greatest(F.lit(7.0), F.least(height / n_lines * 0.75, F.lit(13.0)))
+    return F.greatest(F.lit(FONT_LEAST), F.least(height / n_lines * FONT_SHARE, F.lit(FONT_MOST)))
 
 
 def capped_size(w: Column, h: Column, most: int = 3000) -> Column:

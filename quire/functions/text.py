@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Python's str.strip() has it.
 WHITE = r"[\s\p{Z}\x1c-\x1f\x85]"
+NOT_BLANK = r"[^\s\p{Z}\x1c-\x1f\x85]"
 TRANSLATE_CHARS = 4500
+#: The decimal digits of all scripts, and the ASCII digit for each.
+DIGITS = [chr(c) for c in range(0x110000) if unicodedata.decimal(chr(c), None) is not None]
+VALUES = [str(unicodedata.decimal(c)) for c in DIGITS]
+#: Stands for numbers above it.
+MOST = 2**63 - 1
 
 
 def strip(text: Column) -> Column:
@@ -38,9 +46,11 @@ def chunks(text: Column, size: int = TRANSLATE_CHARS) -> Column:
 
 
 def number_list(text: Column) -> Column:
-    """"1, 3,x,-2" as [1, 3]: what isn't digits is dropped; null and empty give no number."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), ","), lambda p: strip(p).rlike("^[0-9]+$"))
-    return F.filter(F.transform(parts, lambda p: F.try_to_number(strip(p), F.lit("9999999999")).cast("bigint")), lambda x: x.isNotNull())
+    """"1, 3,x,-2" as [1, 3]: what isn't digits, of any script, is dropped; null and empty give no number. A number of any
+    length stays one: those beyond a long become MOST, which no page has."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), strip), lambda p: p.rlike(r"^\p{Nd}+$"))
+    plain = lambda p: F.when(p.rlike("^[0-9]+$"), p).otherwise(F.translate(p, "".join(DIGITS), "".join(VALUES)))
+    return F.transform(parts, lambda p: F.coalesce(plain(p).try_cast("bigint"), F.lit(MOST)))
 
 
 def term_list(text: Column) -> Column:
@@ -83,10 +93,23 @@ def gateway_reply(body: Column) -> Column:
     return keyed(lambda p: F.struct(p[0].alias("k"), F.element_at(F.filter(pairs, lambda q: q[0] == p[0]), -1)[1].alias("v")))
 
 
+def _decoded(part: Column) -> Column:
+    """URL-decoded, or as it is where it has a broken escape."""
+    return F.coalesce(F.try_url_decode(part), part)
+
+
+def query_fields(query: Column) -> Column:
+    """A query string as a map: URL-decoded, the last value of a key wins, a key without = has the empty value."""
+    parts = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.split(p, "=", 2))
+    plain = F.transform(parts, lambda p: F.struct(_decoded(p[0]).alias("k"), F.coalesce(_decoded(F.get(p, F.lit(1))), F.lit("")).alias("v")))
+    last = F.array_distinct(F.transform(plain, lambda p: F.struct(p["k"].alias("k"), F.element_at(F.filter(plain, lambda q: q["k"] == p["k"]), -1)["v"].alias("v"))))
+    return F.map_from_entries(last)
+
+
 def form_fields(body: Column) -> Column:
     """A form body as a map: values URL-decoded, the first value of a key wins, pairs without a value are dropped."""
     parts = F.filter(F.transform(F.split(body, "&"), lambda p: F.split(p, "=", 2)), lambda p: (F.size(p) == 2) & (p[1] != ""))
-    plain = F.transform(parts, lambda p: F.struct(F.url_decode(p[0]).alias("k"), F.url_decode(p[1]).alias("v")))
+    plain = F.transform(parts, lambda p: F.struct(_decoded(p[0]).alias("k"), _decoded(p[1]).alias("v")))
     first = F.array_distinct(F.transform(plain, lambda p: F.struct(p["k"].alias("k"), F.filter(plain, lambda q: q["k"] == p["k"])[0]["v"].alias("v"))))
     return F.map_from_entries(first)
 

@@ -50,7 +50,7 @@ def renewals_due(subscriptions: DataFrame, today, fixed: bool = False) -> DataFr
     """Subscriptions of a known plan with a token whose charge is due. Cancelled ones are due too, unless fixed."""
     rows = subscriptions.where((F.to_date("next_charge") <= today) & price(F.col("plan")).isNotNull() & (F.coalesce("token", F.lit("")) != ""))
     rows = rows.where(~F.col("cancelled")) if fixed else rows
-    order = F.concat(F.lit("REN-"), F.substring(F.col("user_id").cast("string"), 1, 8), F.lit("-"), F.date_format(today, "yyyyMMdd"))
+    order = F.concat(F.lit("REN-"), F.substring(F.col("user_id").cast("string"), 1, 8), F.lit("-"), F.date_format(today, "yyyy-MM-dd"))
     return rows.select("user_id", "plan", price(F.col("plan")).alias("amount"), order.alias("order_id"), "cancelled")
 
 
@@ -97,6 +97,15 @@ def gateway_results(replies: DataFrame) -> DataFrame:
     return rows.select("id", first("Response").alias("response"), F.coalesce(first("Num"), F.lit("")).alias("num"), F.coalesce(first("Response") == "000", F.lit(False)).alias("ok"))
 
 
+def success_redirects(calls: DataFrame) -> DataFrame:
+    """calls (id, query) of the success page with what the gateway put into its address: token (or TranzilaTK),
+    auth_number (Num, or authNr) and transaction_id (index); the first of the names that is there counts, even if its
+    value is empty, and without any the value is empty."""
+    rows = calls.withColumn("_f", text.query_fields(F.coalesce("query", F.lit(""))))
+    first = lambda *keys: F.coalesce(*[F.try_element_at("_f", F.lit(k)) for k in keys], F.lit(""))
+    return rows.select("id", first("token", "TranzilaTK").alias("token"), first("Num", "authNr").alias("auth_number"), first("index").alias("transaction_id"))
+
+
 def webhook_orders(calls: DataFrame) -> DataFrame:
     """calls (id, body) with the form's order number, response, token and transaction."""
     f = lambda k: F.try_element_at("_f", F.lit(k))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from quire.functions import layout, text
 
+# A sheet title's length and parts, and the only sheet of a workbook without any other.
 SHEET_CHARS = 31
+SHEET, TEXT_SHEET, TABLE_SHEET = "עמ' ", " טקסט", " טבלה "
+EMPTY_SHEET, EMPTY_VALUE = "ריק", "לא נמצאו טבלאות"
 # Languages that text may be translated to, and those written from right to left.
 LANGUAGES = {
     "iw": "עברית", "en": "English", "ar": "العربية", "ru": "Русский", "fr": "Français", "de": "Deutsch", "es": "Español", "it": "Italiano", "pt": "Português", "zh": "中文",
@@ -33,14 +36,22 @@ def line_cells(pages: DataFrame) -> DataFrame:
 
 def sheet_name(page, tbl):
     """A sheet's title: the page, the table's number from the second on; a page's text has one of its own."""
-    base = F.concat(F.lit("עמ' "), page.cast("string"))
-    return F.substring(F.when(tbl == 0, F.concat(base, F.lit(" טקסט"))).when(tbl > 1, F.concat(base, F.lit(" טבלה "), tbl.cast("string"))).otherwise(base), 1, SHEET_CHARS)
+    base = F.concat(F.lit(SHEET), page.cast("string"))
+    return F.substring(F.when(tbl == 0, F.concat(base, F.lit(TEXT_SHEET))).when(tbl > 1, F.concat(base, F.lit(TABLE_SHEET), tbl.cast("string"))).otherwise(base), 1, SHEET_CHARS)
 
 
 def column_widths(cells: DataFrame) -> DataFrame:
-    """doc_id, page, tbl, col, width: the longest value and 4 more, 60 at most."""
-    width = F.least(F.max(F.length("value")) + 4, F.lit(60)).cast("long")
-    return cells.groupBy("doc_id", "page", "tbl", "col").agg(width.alias("width"))
+    """doc_id, page, tbl, col, width of the tables' sheets: the longest value and 4 more, 60 at most; of 10 characters
+    where no cell has a value. A page's text (table 0) has no widths of its own."""
+    width = F.least(F.coalesce(F.max(F.length("value")), F.lit(10)) + 4, F.lit(60)).cast("long")
+    return cells.where("tbl > 0").groupBy("doc_id", "page", "tbl", "col").agg(width.alias("width"))
+
+
+def empty_workbooks(documents: DataFrame, cells: DataFrame) -> DataFrame:
+    """doc_id, sheet, row, col, value of the documents that have no cell: a workbook needs a sheet."""
+    one = F.lit(1).cast("long")
+    rows = documents.select("doc_id").join(cells.select("doc_id").distinct(), "doc_id", "left_anti")
+    return rows.select("doc_id", F.lit(EMPTY_SHEET).alias("sheet"), one.alias("row"), one.alias("col"), F.lit(EMPTY_VALUE).alias("value"))
 
 
 def slides(pages: DataFrame) -> DataFrame:
@@ -58,8 +69,9 @@ def translatable(blocks: DataFrame) -> DataFrame:
 
 def translate(blocks: DataFrame, translated: DataFrame) -> DataFrame:
     """Blocks with their translation. translated: text, translation, one row for each distinct text, so that a repeated
-    text costs one call; a missing, empty or unchanged translation leaves the block as it is."""
-    rows = blocks.join(translated, "text", "left")
+    text costs one call; a missing, empty or unchanged translation leaves the block as it is. Rows meet by a digest of
+    the text, so that translations move without it; a very common line is a skewed key of a join that Spark can split."""
+    rows = blocks.withColumn("_digest", F.sha2("text", 256)).join(translated.select(F.sha2("text", 256).alias("_digest"), "translation"), "_digest", "left").drop("_digest")
     new = (F.coalesce("translation", F.lit("")) != "") & (F.col("translation") != F.col("text"))
     return rows.withColumn("changed", F.coalesce(new, F.lit(False))).withColumn("result", F.when(new, F.col("translation")).otherwise(F.col("text"))).drop("translation")
 
@@ -76,5 +88,9 @@ def numbered_tables(cells: DataFrame) -> DataFrame:
     return t.withColumn("n", n).select("doc_id", "page", "tbl", sheet_name(F.col("page"), F.col("n")).alias("sheet"))
 
 
+def known_language(code: str) -> bool:
+    return code in LANGUAGES or code == "auto"
+
+
 def valid_language(code):
     return F.coalesce(code.isin(*LANGUAGES, "auto"), F.lit(False))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import layout, text
 
+# Fixed value: what stands between the pages of a document's text.
 PAGE_BREAK = "\n\n--- עמוד חדש ---\n\n"
 #: Rows that one task numbers in running_total().
 BLOCK = 65_536
@@ -109,10 +110,21 @@ def sign(pages: DataFrame, sizes: DataFrame, request: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page", layout.signature(F.col("width_pt"), F.col("height_pt"), F.col("x"), F.col("y")).alias("box"))
 
 
-def redact(pages: DataFrame, terms: list[str], case_sensitive: bool = False) -> DataFrame:
-    """pages with every term masked in `text`, and n_redacted."""
+def redact(pages: DataFrame, terms: list[str], case_sensitive: bool = False, request: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """pages with every term masked in `text`, and n_redacted. With a request and sizes, as select_pages has them, on the
+    selected pages alone; the others stay as they are, as do those of documents that the request doesn't have."""
     new, count = text.redact(F.col("text"), terms, case_sensitive)
-    return pages.select(*[c for c in pages.columns if c != "text"], new.alias("text"), count.alias("n_redacted"))
+    others = [c for c in pages.columns if c != "text"]
+    if request is None:
+        return pages.select(*others, new.alias("text"), count.alias("n_redacted"))
+    chosen = select_pages(request, sizes).select("doc_id", "page").distinct().withColumn("_chosen", F.lit(True))
+    rows = pages.join(chosen, ["doc_id", "page"], "left")
+    return rows.select(*others, F.when(F.col("_chosen"), new).otherwise(F.col("text")).alias("text"), F.when(F.col("_chosen"), count).otherwise(0).cast("long").alias("n_redacted"))
+
+
+def totals(parts: DataFrame) -> DataFrame:
+    """doc_id, total_parts, total_pages of parts (doc_id, first, last); an empty part has no pages."""
+    return parts.groupBy("doc_id").agg(F.count("*").alias("total_parts"), F.sum(F.greatest(F.col("last") - F.col("first") + 1, F.lit(0))).cast("long").alias("total_pages"))
 
 
 def info(pages: DataFrame) -> DataFrame:

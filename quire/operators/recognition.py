@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from quire.functions import text
 
 NATIVE_CHARS, LEAST_WORD = 50, 20
+# Headings of exports.
+PAGE, TITLE = "עמוד ", "OCR"
 
 
 def good_words(words: Column, conf: Column) -> Column:
     """Words that aren't blank and have a confidence above LEAST_WORD."""
-    pairs = F.filter(F.arrays_zip(words.alias("w"), conf.alias("c")), lambda x: (text.strip(x["w"]) != "") & (x["c"] > LEAST_WORD))
+    pairs = F.filter(F.arrays_zip(words.alias("w"), conf.alias("c")), lambda x: x["w"].rlike(text.NOT_BLANK) & (x["c"] > LEAST_WORD))
     return F.transform(pairs, lambda x: x["w"])
 
 
@@ -60,7 +62,7 @@ def document_records(records: DataFrame) -> DataFrame:
 
 def text_export(records: DataFrame) -> DataFrame:
     """doc_id and the lines of a text file: a heading for each page, its text, an empty line."""
-    block = F.concat(F.lit("=== עמוד "), F.col("page").cast("string"), F.lit(" ===\n"), F.col("text"), F.lit("\n"))
+    block = F.concat(F.lit("=== " + PAGE), F.col("page").cast("string"), F.lit(" ===\n"), F.col("text"), F.lit("\n"))
     parts = F.sort_array(F.collect_list(F.struct("page", block.alias("block"))))
     return records.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["block"]), "\n").alias("content"))
 
@@ -69,9 +71,9 @@ def paragraphs(records: DataFrame) -> DataFrame:
     """doc_id, seq, style, text: a word-processor export as ordered paragraphs - a title, then for each page a heading,
     its lines and a blank one."""
     body = F.transform(text.lines(F.col("text")), lambda x: F.struct(F.lit("Body").alias("style"), x.alias("text")))
-    head = F.array(F.struct(F.lit("Heading 2").alias("style"), F.concat(F.lit("עמוד "), F.col("page").cast("string")).alias("text")))
+    head = F.array(F.struct(F.lit("Heading 2").alias("style"), F.concat(F.lit(PAGE), F.col("page").cast("string")).alias("text")))
     blank = F.array(F.struct(F.lit("Body").alias("style"), F.lit("").alias("text")))
     pages = records.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", F.concat(head, body, blank).alias("items")))).alias("p"))
-    title = F.array(F.struct(F.lit("Heading 1").alias("style"), F.lit("OCR").alias("text")))
+    title = F.array(F.struct(F.lit("Heading 1").alias("style"), F.lit(TITLE).alias("text")))
     rows = pages.select("doc_id", F.posexplode(F.concat(title, F.flatten(F.transform("p", lambda x: x["items"])))).alias("seq", "item"))
     return rows.select("doc_id", F.col("seq").cast("long").alias("seq"), "item.style", "item.text")

@@ -18,12 +18,16 @@ from quire.workers import reach
 PRESETS = [("low", 1, False), ("medium", 2, True), ("high", 3, True), ("extreme", 4, True)]
 IMAGE_QUALITY = {"low": 40, "medium": 60, "high": 40, "extreme": 25}
 DEFAULT_LEVEL, DEFAULT_QUALITY = "medium", 60
+# Where an office program may be found, after what the settings name.
+OFFICE_PROGRAMS = ["soffice", "libreoffice"]
 # What each setting of a request may be.
 DOMAINS = {
     "level": ["low", "medium", "high", "extreme"], "mode": ["ranges", "every_n", "pages"], "angle": ["90", "180", "270"],
     "output_format": ["txt", "pdf", "docx"], "image_format": ["jpg", "png", "webp", "tiff"],
 }
 RANGES = {"dpi": (72, 300), "quality": (10, 100), "every_n": (1, 10_000), "n_files": (2, 20), "n_images": (0, 50)}
+# Fixed value: what stands before a date.
+DATE = "תאריך: "
 METADATA = ["title", "author", "subject", "creator", "producer", "creation_date"]
 
 
@@ -47,6 +51,11 @@ def compression_plan(requests: DataFrame) -> DataFrame:
     return requests.withColumn("_level", known).join(F.broadcast(dim), "_level").select("id", "level", F.lit(True).alias("deflate"), F.lit(True).alias("clean"), "garbage", "linear", "quality")
 
 
+def first_existing(candidates: DataFrame) -> DataFrame:
+    """candidates (id, ordinal, path, found) as id, path: the first that is there, null where none is."""
+    return candidates.groupBy("id").agg(F.min_by(F.when(F.col("found"), F.col("path")), F.when(F.col("found"), F.col("ordinal"))).alias("path"))
+
+
 def look_up(registry: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (file_id) with the registry's row; status 404 where there is none."""
     rows = wanted.join(registry.select("file_id", "original_name", "size"), "file_id", "left")
@@ -69,7 +78,7 @@ def iso_z(ts: Column) -> Column:
 
 
 def date_line(day: Column) -> Column:
-    return F.concat(F.lit("תאריך: "), F.date_format(day, "dd/MM/yyyy"))
+    return F.concat(F.lit(DATE), F.date_format(day, "dd/MM/yyyy"))
 
 
 def order_id(uuid: Column) -> Column:
@@ -107,8 +116,9 @@ def subject(text: str | None, now: int, secret: str) -> str | None:
 
 
 def verify_tokens(tokens: DataFrame, secret: str, now: int) -> DataFrame:
-    """tokens (id, token) with the subject, null for a token that doesn't hold. The secret goes to workers within the
-    function, never into the plan's text."""
+    """tokens (id, token) with the subject, null for a token that doesn't hold. In SQL the signature would be two sha2()
+    over the padded key, but then the key would stand in the plan's text, which goes to logs; so it goes to workers within
+    an Arrow-batched function."""
     reach(tokens.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

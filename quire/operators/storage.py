@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text
@@ -17,8 +17,12 @@ OFFICE = {
     "application/vnd.ms-powerpoint": ".ppt",
     "application/vnd.openxmlformats-officedocument.presentationml.presentation": ".pptx",
 }
-IMAGE = {"image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp", "image/tiff": ".tiff", "image/bmp": ".bmp"}
+IMAGE = {"image/jpeg": ".jpg", "image/png": ".png", "image/webp": ".webp", "image/tiff": ".tiff", "image/bmp": ".bmp", "image/gif": ".gif"}
 TEXT = {"text/plain": ".txt", "text/html": ".html"}
+KNOWN = PDF | OFFICE | IMAGE | TEXT
+# What an upload's error says, before and between its parts.
+WRONG_TYPE, ALLOWED_TYPES = "סוג קובץ לא נתמך: ", ". נתמך: "
+TOO_LARGE, AT_MOST = "הקובץ גדול מדי (", "MB). מקסימום: "
 LIMIT_MB, PRO_LIMIT_MB = 100, 500
 PRO = ("pro", "enterprise")
 TTL_SECONDS = 3600
@@ -28,13 +32,24 @@ def is_pro(plan):
     return F.coalesce(plan.isin(*PRO), F.lit(False))
 
 
-def validate_uploads(uploads: DataFrame, allowed: list[str] | None = None) -> DataFrame:
+def _megabytes(length: Column) -> Column:
+    """Length in megabytes to one place, a tie to the even one, in whole numbers."""
+    tenths, rest = F.floor(length * 10 / 1048576), F.pmod(length * 10, F.lit(1048576))
+    tenths = tenths + F.when((2 * rest > 1048576) | ((2 * rest == 1048576) & (F.pmod(tenths, F.lit(2)) == 1)), 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"))
+
+
+def validate_uploads(uploads: DataFrame, allowed: list[str] | None = None, max_mb: int | None = None) -> DataFrame:
     """uploads (file_id, content_type, length, plan) with status 415 for a type that isn't allowed, else 413 above the
-    plan's size limit, else 200. Lengths come from metadata; no content is read. An empty list allows every type."""
-    mb = F.when(is_pro(F.col("plan")), PRO_LIMIT_MB).otherwise(LIMIT_MB)
-    wrong = ~F.coalesce(F.col("content_type").isin(*allowed), F.lit(False)) if allowed else F.lit(False)
-    status = F.when(wrong, 415).when(F.col("length") / 1048576 > mb, 413).otherwise(200)
-    return uploads.select("file_id", "content_type", "length", status.alias("status"))
+    limit (the plan's unless max_mb is given), else 200, and the error's detail, which names the allowed types in order.
+    Lengths come from metadata; no content is read. No list or an empty one allows the KNOWN types; a null type is the
+    empty one, which isn't known."""
+    types = sorted(allowed or KNOWN)
+    mime = F.coalesce("content_type", F.lit(""))
+    mb = F.lit(max_mb) if max_mb else F.when(is_pro(F.col("plan")), PRO_LIMIT_MB).otherwise(LIMIT_MB)
+    wrong, large = ~mime.isin(types), F.col("length") / 1048576 > mb
+    detail = F.when(wrong, F.concat(F.lit(WRONG_TYPE), mime, F.lit(ALLOWED_TYPES + ", ".join(types)))).when(large, F.concat(F.lit(TOO_LARGE), _megabytes(F.col("length")), F.lit(AT_MOST), mb.cast("string"), F.lit("MB")))
+    return uploads.select("file_id", "content_type", "length", F.when(wrong, 415).when(large, 413).otherwise(200).alias("status"), detail.alias("detail"))
 
 
 def register(files: DataFrame) -> DataFrame:

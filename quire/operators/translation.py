@@ -31,7 +31,8 @@ def translate_texts(texts: DataFrame, engine: Engine) -> DataFrame:
             yield pd.DataFrame({"chunk": b["chunk"], "translated": engine(b["chunk"].tolist())})
 
     done = cut.select("chunk").distinct().mapInPandas(run, "chunk string, translated string")
-    rows = cut.join(done, "chunk").groupBy("text").agg(F.sort_array(F.collect_list(F.struct("pos", "translated"))).alias("parts"))
+    slices = cut.select("text", "pos", F.sha2("chunk", 256).alias("_digest"))
+    rows = slices.join(done.select(F.sha2("chunk", 256).alias("_digest"), "translated"), "_digest").groupBy("text").agg(F.sort_array(F.collect_list(F.struct("pos", "translated"))).alias("parts"))
     failed = F.exists("parts", lambda p: p["translated"].isNull())
     return rows.select("text", F.when(~failed, F.array_join(F.transform("parts", lambda p: p["translated"]), " ")).alias("translation"))
 
@@ -50,6 +51,13 @@ def overlay(blocks: DataFrame, engine: Engine, target: str) -> DataFrame:
     return rows.select("doc_id", "page", "block", _turned(F.col("result"), target).alias("result"), layout.overlay_font_size(F.col("y1") - F.col("y0"), n_lines).alias("font_size"), align.alias("align"))
 
 
+def translate(pages: DataFrame, blocks: DataFrame, engine: Engine, target: str, keep_layout: bool = True) -> DataFrame:
+    """A document in another language: overlays on its blocks where the layout is kept, whole pages of text where not."""
+    if not convert.known_language(target):
+        raise ValueError(f"unknown language {target}")
+    return overlay(blocks, engine, target) if keep_layout else clean(pages, engine, target)
+
+
 def clean(pages: DataFrame, engine: Engine, target: str) -> DataFrame:
     """doc_id, page, text: whole pages in the other language, the original where the engine failed. Pass the selected
     pages alone: only they are kept."""

@@ -64,8 +64,9 @@ def _sized(p: DataFrame) -> DataFrame:
 
 
 _SIZED = "select *, cast(case when doc_id % 3 = 0 then 612 else 595.276 end as double) as width_pt, cast(case when doc_id % 3 = 0 then 792 else 841.89 end as double) as height_pt from"
-_LIST = "case doc_id % 6 when 0 then '3,1,3' when 1 then '-1,x' when 2 then '9' when 3 then '0,2' when 4 then '' else ' 2 , 1' end"
-_ASKED = f"""{_SIZES}, asked as (select doc_id, n_pages, list_transform(list_filter(string_split({_LIST}, ','), lambda p: regexp_full_match(trim(p), '[0-9]+')), lambda p: cast(trim(p) as bigint)) as l
+_LIST = """case doc_id % 10 when 0 then '3,1,3' when 1 then '-1,x' when 2 then '9' when 3 then '0,2' when 4 then '' when 5 then ' 2 , 1' when 6 then '99999999999' when 7 then '99999999999999999999,x'
+  when 8 then '٢,١' else '00000000000000000001' end"""
+_ASKED = f"""{_SIZES}, asked as (select doc_id, n_pages, list_transform(list_filter(string_split({_LIST}, ','), lambda p: regexp_full_match(trim(p), '\\p{{Nd}}+')), lambda p: coalesce(try_cast(translate(trim(p), '١٢', '12') as bigint), 9223372036854775807)) as l
   from sizes), chosen as (select doc_id, n_pages, list_filter(@@, lambda p: p >= 1 and p <= n_pages) as l from asked),
   picked as (select doc_id, cast(k as bigint) as ordinal, l[k] as page from chosen, unnest(range(1, len(l) + 1)) u(k))"""
 _ALL = _ASKED.replace("@@", "case when len(l) = 0 then range(1, n_pages + 1) else l end")
@@ -125,6 +126,12 @@ def extract_pages(spark, sf):
     return pages.extract_pages(_request(spark, sf), src.doc_sizes(_docs(spark, sf)))
 
 
+@query(f"""with {_SIZES}, p as (select doc_id, n_pages, cast(i as bigint) as part from sizes, unnest(range(1, (n_pages + 3) // 4 + 1)) u(i))
+select doc_id, count(*) as total_parts, cast(sum(least(part * 4, n_pages) - (part - 1) * 4) as bigint) as total_pages from p group by doc_id""")
+def split_totals(spark, sf):
+    return pages.totals(split_every_n(spark, sf))
+
+
 @query(f"with {_PAGES}, {_ALL} select p.doc_id, p.page, case when exists (select 1 from picked k where k.doc_id = p.doc_id and k.page = p.page) then 90 else 0 end as rotation from doc_pages p")
 def rotate_pages(spark, sf):
     docs = _docs(spark, sf)
@@ -166,6 +173,13 @@ def redact_text(spark, sf):
     return pages.redact(src.doc_pages(_docs(spark, sf)), _TERMS).drop("n_redacted")
 
 
+@query(f"""with {_PAGES}, {_ALL}, m as (select p.doc_id, p.page, text, exists (select 1 from picked k where k.doc_id = p.doc_id and k.page = p.page) as chosen from doc_pages p)
+select doc_id, page, case when chosen then {_RED} else text end as text, cast(case when chosen then len(regexp_extract_all(text, '(?i)the|de\\.|und')) else 0 end as bigint) as n_redacted from m""")
+def redact_selected(spark, sf):
+    docs = _docs(spark, sf)
+    return pages.redact(src.doc_pages(docs), _TERMS, request=_request(spark, sf), sizes=src.doc_sizes(docs))
+
+
 @query(f"""with {_PAGES}, m as (select doc_id, list_transform(regexp_extract_all(text, '(?i)the|de\\.|und'), lambda x: 1) as l from doc_pages)
 select doc_id, cast(sum(len(l)) as bigint) as n_redacted from m group by doc_id""")
 def redact_counts(spark, sf):
@@ -188,18 +202,10 @@ def document_text(spark, sf):
     return pages.document_text(src.doc_pages(_docs(spark, sf)))
 
 
-@query(f"""with {_PAGES}, r as (select doc_id, page, 1 as seq, left(text, 40) as text from doc_pages union all select doc_id, page, 2, case when page % 3 = 0 then '  ' else right(text, 30) end from doc_pages where doc_id % 2 = 0),
-l as (select *, row_number() over (partition by doc_id, page order by seq desc) as k from r) select doc_id, page, 10 as x, 20 as y, 1 as size, text from l where k = 1 and {_strip('text')} <> ''""")
-def searchable_layer(spark, sf):
-    p = src.doc_pages(_docs(spark, sf))
-    r = p.selectExpr("doc_id", "page", "1 as seq", "left(text, 40) as text").unionAll(p.where("doc_id % 2 = 0").selectExpr("doc_id", "page", "2", "case when page % 3 = 0 then '  ' else right(text, 30) end"))
-    return pages.search_layer(p, r)
-
-
 @query(f"""with {_PAGES}, r as (select doc_id, page, 1 as seq, text from doc_pages union all select doc_id, page, 2, case when page % 3 = 0 then '  ' else 'OCR ' || text end from doc_pages where doc_id % 2 = 0),
 l as (select *, row_number() over (partition by doc_id, page order by seq desc) as k from r) select doc_id, page, 10 as x, 20 as y, 1 as size, text from l where k = 1 and {_strip('text')} <> ''""")
-def searchable_layer_all(spark, sf):
-    """searchable_layer with each page's whole text; the second text has a word before it."""
+def searchable_layer(spark, sf):
+    """Each page's whole text; the second text has a word before it."""
     p = src.doc_pages(_docs(spark, sf))
     r = p.selectExpr("doc_id", "page", "1 as seq", "text").unionAll(p.where("doc_id % 2 = 0").selectExpr("doc_id", "page", "2", "case when page % 3 = 0 then '  ' else 'OCR ' || text end"))
     return pages.search_layer(p, r)
@@ -273,14 +279,12 @@ def text_line_cells(spark, sf):
     return convert.line_cells(src.doc_pages(_docs(spark, sf)))
 
 
-@query(f"with {_LINE_CELLS} select doc_id, page, tbl, col, cast(least(max(length(value)) + 4, 60) as bigint) as width from cells group by all")
-def column_widths(spark, sf):
-    return convert.column_widths(convert.line_cells(src.doc_pages(_docs(spark, sf))))
+_TABLE_CELLS = """with c as (select o_orderkey as doc_id, cast(1 as bigint) as page, cast(1 as bigint) as tbl, cast(1 as bigint) as row, unnest([1, 2, 3]) as k, o_orderstatus, o_orderpriority, o_custkey from orders union all
+select o_orderkey, 1, 2, 1, unnest([1, 2]), o_orderpriority, null, 0 from orders where o_orderkey % 2 = 0)
+select doc_id, page, tbl, row, cast(k as bigint) as col, case when k = 1 then o_orderstatus when k = 2 then coalesce(o_orderpriority, '') when o_custkey % 2 = 0 then '' else cast(o_custkey as varchar) end as value from c"""
 
 
-@query("""with c as (select o_orderkey as doc_id, cast(1 as bigint) as page, cast(1 as bigint) as tbl, cast(1 as bigint) as row, unnest([1, 2, 3]) as k, o_orderstatus, o_orderpriority, o_custkey from orders union all
-select o_orderkey, 1, 2, 1, unnest([1, 2]), o_orderpriority, null, 0 from orders where o_orderkey % 2 = 0)
-select doc_id, page, tbl, row, cast(k as bigint) as col, case when k = 1 then o_orderstatus when k = 2 then coalesce(o_orderpriority, '') when o_custkey % 2 = 0 then '' else cast(o_custkey as varchar) end as value from c""")
+@query(_TABLE_CELLS)
 def table_cells(spark, sf):
     one = F.expr("array(array(o_orderstatus, o_orderpriority, case when o_custkey % 2 = 0 then null else cast(o_custkey as string) end))")
     two = F.expr("array(array(o_orderpriority, cast(null as string)))")
@@ -288,6 +292,17 @@ def table_cells(spark, sf):
     return convert.table_cells(t)
 
 
+@query(f"select doc_id, page, tbl, col, cast(least(max(length(value)) + 4, 60) as bigint) as width from ({_TABLE_CELLS}) group by all")
+def column_widths(spark, sf):
+    """Of the tables; the lines of pages without tables go in, and have none."""
+    return convert.column_widths(table_cells(spark, sf).unionByName(convert.line_cells(src.doc_pages(_docs(spark, sf)))))
+
+
+@query("select doc_id, 'ריק' as sheet, cast(1 as bigint) as row, cast(1 as bigint) as col, 'לא נמצאו טבלאות' as value from documents where doc_id not in (select o_orderkey from orders)")
+def empty_workbooks(spark, sf):
+    return convert.empty_workbooks(_docs(spark, sf), table_cells(spark, sf))
+
+
 @query("""select o_orderkey as doc_id, cast(1 as bigint) as page, cast(1 as bigint) as tbl, 'עמ'' 1' as sheet from orders union all select o_orderkey, 1, 2, 'עמ'' 1 טבלה 2' from orders where o_orderkey % 2 = 0""")
 def sheet_names(spark, sf):
     return convert.numbered_tables(table_cells(spark, sf))
@@ -362,18 +377,11 @@ def translate_blocks(spark, sf):
     return convert.translate(b, once).select("doc_id", "block", "text", "changed", "result", size.alias("font_size"))
 
 
-@query("select doc_id, code, code in ('en','iw','fr','auto') as valid from (select doc_id, case doc_id % 5 when 0 then 'en' when 1 then 'he' when 2 then 'iw' when 3 then 'auto' else lang || '' end as code from documents where doc_id % 5 < 4 or lang = 'fr')")
-def language_validation(spark, sf):
-    rows = _docs(spark, sf).where("doc_id % 5 < 4 or lang = 'fr'").select("doc_id", F.expr("case doc_id % 5 when 0 then 'en' when 1 then 'he' when 2 then 'iw' when 3 then 'auto' else lang end").alias("code"))
-    return rows.withColumn("valid", convert.valid_language(F.col("code")))
-
-
 _CODES = ", ".join(f"'{c}'" for c in [*convert.LANGUAGES, "auto"])
 
 
 @query(f"select doc_id, code, code is not null and code in ({_CODES}) as valid from (select doc_id, case doc_id % 5 when 0 then 'en' when 1 then 'he' when 2 then 'iw' when 3 then 'auto' else lang end as code from documents)")
-def language_validation_all(spark, sf):
-    """language_validation over every document."""
+def language_validation(spark, sf):
     rows = _docs(spark, sf).select("doc_id", F.expr("case doc_id % 5 when 0 then 'en' when 1 then 'he' when 2 then 'iw' when 3 then 'auto' else lang end").alias("code"))
     return rows.withColumn("valid", convert.valid_language(F.col("code")))
 
@@ -391,11 +399,26 @@ _UPLOADS = """select doc_id as file_id, case doc_id % 5 when 0 then 'application
   (doc_id % 7) * 100 * 1048576 + doc_id % 2 as length, case doc_id % 3 when 0 then 'pro' when 1 then 'free' end as plan from documents"""
 
 
-@query(f"""select file_id, content_type, length, case when content_type is null or content_type not in ('application/pdf', 'image/png') then 415
-  when length / 1048576 > case when plan = 'pro' then 500 else 100 end then 413 else 200 end as status from ({_UPLOADS})""")
+def _upload_sql(types: list[str]) -> str:
+    listed = ", ".join(f"'{x}'" for x in sorted(types))
+    return f"""with u as (select *, coalesce(content_type, '') not in ({listed}) as wrong, case when plan = 'pro' then 500 else 100 end as mb from ({_UPLOADS}))
+select file_id, content_type, length, case when wrong then 415 when length / 1048576 > mb then 413 else 200 end as status,
+  case when wrong then '{storage.WRONG_TYPE}' || coalesce(content_type, '') || '{storage.ALLOWED_TYPES}{', '.join(sorted(types))}'
+    when length / 1048576 > mb then '{storage.TOO_LARGE}' || printf('%.1f', length / 1048576) || '{storage.AT_MOST}' || mb || 'MB' end as detail from u"""
+
+
+def _uploads(spark, sf):
+    return _docs(spark, sf).selectExpr("doc_id as file_id", "case doc_id % 5 when 0 then 'application/pdf' when 1 then 'image/png' when 2 then 'text/csv' when 3 then 'application/msword' end as content_type", "(doc_id % 7) * 100 * 1048576 + doc_id % 2 as length", "case doc_id % 3 when 0 then 'pro' when 1 then 'free' end as plan")
+
+
+@query(_upload_sql([*storage.PDF, *storage.IMAGE]))
 def upload_validation(spark, sf):
-    rows = _docs(spark, sf).selectExpr("doc_id as file_id", "case doc_id % 5 when 0 then 'application/pdf' when 1 then 'image/png' when 2 then 'text/csv' when 3 then 'application/msword' end as content_type", "(doc_id % 7) * 100 * 1048576 + doc_id % 2 as length", "case doc_id % 3 when 0 then 'pro' when 1 then 'free' end as plan")
-    return storage.validate_uploads(rows, [*storage.PDF, *storage.IMAGE])
+    return storage.validate_uploads(_uploads(spark, sf), [*storage.PDF, *storage.IMAGE])
+
+
+@query(_upload_sql(list(storage.KNOWN)))
+def upload_validation_known(spark, sf):
+    return storage.validate_uploads(_uploads(spark, sf))
 
 
 @query(r"""select page_id, left(regexp_replace(regexp_extract(url, '[^/]*$', 0), '[^\p{L}\p{N}_\-. ]', '_', 'g'), 200) as name from pages""")
@@ -524,12 +547,12 @@ def activation(spark, sf):
     return billing.activate(src.subscriptions(o), src.payment_orders(o).where("status = 'pending'"), F.expr("timestamp_ntz'2001-08-01'"))
 
 
-@query(f"with {_SUBS} select user_id, plan, amount, 'REN-' || left(user_id::varchar, 8) || '-20010801' as order_id, cancelled from subs where cast(next_charge as date) <= date '2001-08-01' and token <> ''")
+@query(f"with {_SUBS} select user_id, plan, amount, 'REN-' || left(user_id::varchar, 8) || '-2001-08-01' as order_id, cancelled from subs where cast(next_charge as date) <= date '2001-08-01' and token <> ''")
 def renewals_due(spark, sf):
     return billing.renewals_due(src.subscriptions(src.table(spark, sf, "orders")), F.lit("2001-08-01").cast("date"))
 
 
-@query(f"with {_SUBS} select user_id, plan, amount, 'REN-' || left(user_id::varchar, 8) || '-20010801' as order_id, cancelled from subs where cast(next_charge as date) <= date '2001-08-01' and token <> '' and not cancelled")
+@query(f"with {_SUBS} select user_id, plan, amount, 'REN-' || left(user_id::varchar, 8) || '-2001-08-01' as order_id, cancelled from subs where cast(next_charge as date) <= date '2001-08-01' and token <> '' and not cancelled")
 def renewals_due_fixed(spark, sf):
     return billing.renewals_due(src.subscriptions(src.table(spark, sf, "orders")), F.lit("2001-08-01").cast("date"), fixed=True)
 
@@ -578,6 +601,14 @@ def webhook_parse(spark, sf):
     return billing.webhook_orders(src.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), body.alias("body")))
 
 
+@query("""select o_orderkey as id, case when o_orderkey % 3 = 0 then 'own' when o_orderkey % 3 = 1 then 'tk+1 ' || o_orderkey else '' end as token,
+  case when o_orderkey % 4 = 0 then '' when o_orderkey % 4 = 1 then 'n%zz' when o_orderkey % 4 = 2 then 'a' || o_orderkey else '' end as auth_number, case when o_orderkey % 2 = 0 then '2' else '' end as transaction_id from orders""")
+def success_redirect(spark, sf):
+    query_string = F.expr("""concat('order_id=', o_orderkey, case o_orderkey % 3 when 0 then '&token=first&token=own&TranzilaTK=x' when 1 then concat('&TranzilaTK=tk%2B1+', o_orderkey) else '&&token=&TranzilaTK=x' end,
+      case o_orderkey % 4 when 0 then '&Num&authNr=7' when 1 then '&Num=n%zz' when 2 then concat('&authNr=a', o_orderkey) else '' end, case when o_orderkey % 2 = 0 then '&index=1&index=2' else '' end)""")
+    return billing.success_redirects(src.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), query_string.alias("query")))
+
+
 # ---- streams and codecs
 
 

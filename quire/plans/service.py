@@ -61,6 +61,13 @@ def document_metadata(spark, sf):
     return requests.metadata(_docs(spark, sf).select("doc_id", F.map_filter(fields, lambda _, v: v.isNotNull()).alias("meta")))
 
 
+@query("select o_custkey as id, min(o_orderkey) filter (o_orderkey % 3 = 0)::varchar as path from orders group by o_custkey")
+def first_candidate(spark, sf):
+    """Each customer's orders as places to look at, of which a third are there."""
+    rows = src.table(spark, sf, "orders")
+    return requests.first_existing(rows.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderkey").cast("string").alias("path"), (F.col("o_orderkey") % 3 == 0).alias("found")))
+
+
 @query("select doc_id, cast(to_json({'doc_id': doc_id, 'lang': lang, 'n': n_chars}) as varchar) as body from documents")
 def response_json(spark, sf):
     return _docs(spark, sf).select("doc_id", F.to_json(F.struct("doc_id", "lang", F.col("n_chars").alias("n"))).alias("body"))
@@ -87,29 +94,11 @@ def _stub(texts: list[str]) -> list[str | None]:
 _STUB = "case when length(text) % 5 = 0 then null when length(text) % 5 = 1 then text else '[' || text || ']' end"
 
 
-@query(rf"""with b as (select doc_id, cast(k as bigint) as block, {_strip('l[k]')} as text from (select doc_id, string_split(text, chr(10)) as l from documents), unnest(range(1, len(l) + 1)) u(k)),
-t as (select *, {_STUB} as tr from b where length(text) between 2 and 4500)
-select doc_id, cast(1 as bigint) as page, block, tr as result, greatest(7.0, least(cast(block % 7 + 8 as double) * 0.75, 13.0)) as font_size, 'left' as align from t where tr <> text""")
-def translate_overlay(spark, sf):
-    b = _docs(spark, sf).select("doc_id", F.lit(1).cast("long").alias("page"), F.posexplode(F.split("text", "\n")).alias("i", "text")).withColumn("block", (F.col("i") + 1).cast("long"))
-    b = b.where(F.length(text.strip(F.col("text"))) <= 4500)
-    return translation.overlay(b.withColumns({"y0": F.lit(0.0), "y1": (F.col("block") % 7 + 8).cast("double")}), _stub, "en")
-
-
-@query(rf"""with {_PAGES}, p as (select doc_id, page, {_strip('text')} as text from doc_pages where page <= 2), t as (select *, coalesce({_STUB}, text) as r from p where text <> '')
-select doc_id, page, array_to_string(list_transform(list_transform({_LINES}, lambda x: x[1]),
-  lambda y: case when {_strip('y')} = '' then y else array_to_string(list_reverse(list_filter(string_split_regex(y, '\s+'), lambda w: w <> '')), ' ') end), chr(10)) as text
-from (select doc_id, page, string_split_regex(r, '\r\n|[\n\x0b\f\r\x85\x{{2028}}\x{{2029}}]') as l from t)""")
-def translate_clean(spark, sf):
-    return translation.clean(src.doc_pages(_docs(spark, sf)).where("page <= 2"), _stub, "iw")
-
-
 @query(rf"""with {_PAGES}, p as (select doc_id, page, {_strip('text')} as text from doc_pages), t as (select *, coalesce({_STUB}, text) as r from p where text <> '')
 select doc_id, page, array_to_string(list_transform(list_transform({_LINES}, lambda x: x[1]),
   lambda y: case when {_strip('y')} = '' then y else array_to_string(list_reverse(list_filter(string_split_regex(y, '\s+'), lambda w: w <> '')), ' ') end), chr(10)) as text
 from (select doc_id, page, string_split_regex(r, '\r\n|[\n\x0b\f\r\x85\x{{2028}}\x{{2029}}]') as l from t)""")
-def translate_clean_all(spark, sf):
-    """translate_clean over every page."""
+def translate_clean(spark, sf):
     return translation.clean(src.doc_pages(_docs(spark, sf)), _stub, "iw")
 
 
@@ -123,7 +112,6 @@ s as (select *, list_transform(range(0, (length(text) - 1) // 4500 + 1), lambda
 p as (select *, list_transform(slices, lambda x: case when length(x) % 7 = 0 then null when length(x) % 7 = 1 then x else '[' || x || ']' end) as parts from s),
 t as (select *, case when len(list_filter(parts, lambda x: x is null)) = 0 then array_to_string(parts, ' ') end as tr from p)
 select doc_id, cast(1 as bigint) as page, block, tr as result, greatest(7.0, least(cast(block % 7 + 8 as double) * 0.75, 13.0)) as font_size, 'left' as align from t where tr <> text""")
-def translate_overlay_all(spark, sf):
-    """translate_overlay over blocks of any length."""
+def translate_overlay(spark, sf):
     b = _docs(spark, sf).select("doc_id", F.lit(1).cast("long").alias("page"), F.posexplode(F.split("text", "\n")).alias("i", "text")).withColumn("block", (F.col("i") + 1).cast("long"))
     return translation.overlay(b.withColumns({"y0": F.lit(0.0), "y1": (F.col("block") % 7 + 8).cast("double")}), _stub_slices, "en")

@@ -46,8 +46,18 @@ def test_range(spark, r):
 @few
 @given(st.text("0123456789 ,-x\t", max_size=20))
 def test_number_list(spark, s):
-    want = [int(p.strip()) for p in s.split(",") if p.strip().isdigit()]
-    assert one(spark, text.number_list(F.col("s")), s=s) == [x for x in want if x < 10**10]
+    want = [min(int(p.strip()), 2**63 - 1) for p in s.split(",") if p.strip().isdigit()]
+    assert one(spark, text.number_list(F.col("s")), s=s) == want
+
+
+def test_numbers_of_any_length_and_script(spark):
+    asked = ["99999999999", "9" * 30, "٣, ७,1", "0" * 30 + "2", "1.5,+1,-1, ,x"]
+    got = [one(spark, text.number_list(F.col("s")), s=s) for s in asked]
+    assert got == [[99999999999], [2**63 - 1], [3, 7, 1], [2], []]
+    request = spark.createDataFrame(list(enumerate(asked)), "doc_id long, pages string")
+    sizes = spark.createDataFrame([(i, 3) for i in range(5)], "doc_id long, n_pages long")
+    chosen = [(r["doc_id"], r["page"]) for r in pages.select_pages(request, sizes).orderBy("doc_id", "ordinal").collect()]
+    assert chosen == [(2, 3), (2, 1), (3, 2), (4, 1), (4, 2), (4, 3)]  # a number that no page has selects none
 
 
 @few
@@ -152,6 +162,57 @@ def test_upload_limits(spark):
     assert got == {1: 200, 2: 413, 3: 200, 4: 415, 5: 415}
 
 
+def test_upload_types_default_to_known_ones(spark):
+    rows = [(1, "text/x-evil", 1, None), (2, None, 1, None), (3, "text/plain", 1, None), (4, "application/pdf", 104910029, None), (5, "application/pdf", 1048576 * 600 + 262144, "pro")]
+    df = spark.createDataFrame(rows, "file_id long, content_type string, length long, plan string")
+    for allowed in (None, []):
+        got = {r["file_id"]: r for r in storage.validate_uploads(df, allowed).collect()}
+        assert {k: r["status"] for k, r in got.items()} == {1: 415, 2: 415, 3: 200, 4: 413, 5: 413}
+        assert got[2]["detail"] == f"סוג קובץ לא נתמך: . נתמך: {', '.join(sorted(storage.KNOWN))}" and got[3]["detail"] is None
+        assert got[4]["detail"] == f"הקובץ גדול מדי ({104910029 / 1048576:.1f}MB). מקסימום: 100MB"
+        assert got[5]["detail"] == f"הקובץ גדול מדי ({600.25:.1f}MB). מקסימום: 500MB"
+    assert storage.validate_uploads(df, ["application/pdf"], max_mb=700).where("status = 413").count() == 0
+
+
+def test_renewal_order_id_has_an_iso_date(spark):
+    df = spark.sql("select 'abcdefghijk' as user_id, 'pro' as plan, 39 as amount, timestamp_ntz'2001-07-31 00:00:00' as next_charge, 't' as token, false as cancelled")
+    assert billing.renewals_due(df, F.lit("2001-08-01").cast("date")).first()["order_id"] == "REN-abcdefgh-2001-08-01"
+
+
+def test_redaction_of_selected_pages(spark):
+    p = spark.createDataFrame([(1, 1, "the end"), (1, 2, "The The"), (2, 1, "the"), (3, 1, "the")], "doc_id long, page long, text string")
+    sizes = p.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+    request = spark.createDataFrame([(1, "2,2,99"), (2, "99999999999")], "doc_id long, pages string")
+    got = {(r["doc_id"], r["page"]): (r["text"], r["n_redacted"]) for r in pages.redact(p, ["the"], request=request, sizes=sizes).collect()}
+    assert got == {(1, 1): ("the end", 0), (1, 2): ("███ ███", 2), (2, 1): ("the", 0), (3, 1): ("the", 0)}
+
+
+def test_widths_of_table_sheets(spark):
+    from quire.operators import convert
+
+    cells = spark.createDataFrame([(1, 1, 1, 1, 1, "x" * 80), (1, 1, 1, 2, 2, ""), (1, 1, 1, 1, 3, "abc"), (1, 2, 0, 1, 1, "a line")], "doc_id long, page long, tbl long, row long, col long, value string")
+    assert {(r["page"], r["col"]): r["width"] for r in convert.column_widths(cells).collect()} == {(1, 1): 60, (1, 2): 4, (1, 3): 7}
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    assert [tuple(r) for r in convert.empty_workbooks(docs, cells).collect()] == [(2, "ריק", 1, 1, "לא נמצאו טבלאות")]
+
+
+def test_broken_escapes_do_not_fail_a_form(spark):
+    assert one(spark, text.form_fields(F.col("s")), s="a=%zz&b=1%202") == {"a": "%zz", "b": "1 2"}
+    assert one(spark, text.query_fields(F.col("s")), s="a=1&a=&b&&c=x%3Dy=z") == {"a": "", "b": "", "c": "x=y=z"}
+
+
+def test_translation_dispatch(spark):
+    from quire.operators import translation
+
+    p = spark.createDataFrame([(1, 1, "some words\nhere")], "doc_id long, page long, text string")
+    b = spark.createDataFrame([(1, 1, 1, "some words", 0.0, 12.0)], "doc_id long, page long, block long, text string, y0 double, y1 double")
+    upper = lambda ts: [t.upper() for t in ts]
+    assert translation.translate(p, b, upper, "en").first()["result"] == "SOME WORDS"
+    assert translation.translate(p, b, upper, "iw", keep_layout=False).first()["text"] == "WORDS SOME\nHERE"
+    with pytest.raises(ValueError, match="unknown"):
+        translation.translate(p, b, upper, "xx")
+
+
 def test_registry_suffix_and_expiry(spark):
     df = spark.sql("select 1L as file_id, 'x' as original_name, 5L as size, timestamp_ntz'2024-01-01 00:00:00' as created_at")
     r = storage.register(df).first()
@@ -192,6 +253,91 @@ def test_page_source_round_trip(spark, tmp_path):
     assert sorted((r["doc_id"], r["page"]) for r in some.collect()) == [(1, 1), (2, 1), (2, 3)]
 
 
+def test_a_document_in_two_partitions_fails_and_leaves_nothing(spark, tmp_path):
+    from quire.sources import datasource
+
+    datasource.register(spark)
+    df = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "doc_id long, page long, text string").repartition(1)
+    twice = df.unionByName(df)
+    with pytest.raises(Exception, match="more than one partition"):
+        twice.write.format("quire_pages").mode("append").save(str(tmp_path))
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_a_failed_write_leaves_no_rows(spark, tmp_path):
+    """Commit and rollback: a table write that fails half way isn't there for readers."""
+    path = f"{tmp_path}/t"
+    spark.range(10).write.parquet(path)
+    with pytest.raises(Exception, match="broken"):
+        spark.range(0, 100, 1, 4).select(F.when(F.col("id") < 99, F.col("id")).otherwise(F.raise_error(F.lit("broken")).cast("long")).alias("id")).write.mode("append").parquet(path)
+    assert spark.read.parquet(path).count() == 10
+
+
+def test_streams_without_input(spark, tmp_path):
+    from quire.streaming import streams
+
+    spark.range(0).selectExpr("id as event_id", "id as user_id", "timestamp_ntz'2024-01-01' as ts", "'a' as event_type").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(0).selectExpr("id as o_orderkey", "date'2024-01-01' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    for x in (tmp_path / "events.parquet", tmp_path / "orders.parquet"):
+        schema = spark.read.parquet(str(x)).schema
+        for f in x.glob("part*"):
+            f.unlink()
+        assert streams.run(spark.readStream.schema(schema).parquet(str(x)), [schema.fieldNames()[0]]).count() == 0
+
+
+def test_stream_state_is_bounded(spark, sf):
+    """Every stateful operator has a watermark, so none of its state stays for ever."""
+    from quire.streaming import streams
+
+    seen = []
+    real, streams.run = streams.run, lambda stream, *a, **k: seen.append(stream._jdf.queryExecution().logical().toString())
+    try:
+        streams.daily_usage(spark, sf), streams.hourly_rate(spark, sf, 1), streams.first_payments(spark, sf)
+    finally:
+        streams.run = real
+    assert len(seen) == 3 and all("EventTimeWatermark" in x for x in seen)
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from quire import workers
+
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Session:
+        conf = Conf
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "x"
+            getConf = staticmethod(lambda: Conf)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        workers.work_root(Session)
+
+
+def test_entry_hides_no_broken_import(tmp_path):
+    """Without the subpackage the entry has its other queries; a broken import inside it is an error."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parents[1]
+    for name in ("quire", "__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).is_dir():
+            shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__"))
+        elif (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    run = lambda: subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len([x for x in e.queries() if x.startswith('op') and x[2].isdigit()]))"], cwd=tmp_path, capture_output=True, text=True)
+    if (tmp_path / "quire/llm").exists():
+        assert run().stdout.strip() == "10"
+        (tmp_path / "quire/llm/topk.py").write_text("import no_such_module\n")
+        assert "no_such_module" in run().stderr
+        shutil.rmtree(tmp_path / "quire/llm")
+    (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+    assert run().stdout.strip() == "0"
+
+
 def test_tokens():
     from quire.operators import requests
 

@@ -1,4 +1,4 @@
-"""Queries that do the whole job, without the cuts that the queries of shorter names share with their SQL."""
+"""Queries against plain functions of whole tables and whole texts."""
 
 import duckdb
 
@@ -12,7 +12,7 @@ def _texts(duck):
 
 def test_every_page_is_translated(spark, sf, duck):
     pages = {(d, i + 1) for d, t in _texts(duck).items() for i in range((max(len(t), 1) - 1) // 1000 + 1) if t[i * 1000 : i * 1000 + 1000].strip()}
-    assert {(r["doc_id"], r["page"]) for r in service.translate_clean_all(spark, sf).select("doc_id", "page").collect()} == pages
+    assert {(r["doc_id"], r["page"]) for r in service.translate_clean(spark, sf).select("doc_id", "page").collect()} == pages
     assert max(p for _, p in pages) > 2
 
 
@@ -26,20 +26,20 @@ def test_long_blocks_have_overlays(spark, tmp_path):
     spark.createDataFrame([(i, "short line\n" + f"{i} word "[:5] * 3000) for i in range(3)] + [(10 + n, ("ab" * n)[:n] + "\nb") for n in lengths], "doc_id long, text string").coalesce(1).write.parquet(path)
     blocks = {(r["doc_id"], k + 1): x.strip() for r in spark.read.parquet(path).collect() for k, x in enumerate(r["text"].split("\n")) if len(x.strip()) >= 2}
     want = {k: tr(x) for k, x in blocks.items() if tr(x) not in (None, x)}
-    got = {(r["doc_id"], r["block"]): r["result"] for r in service.translate_overlay_all(spark, str(tmp_path)).collect()}
+    got = {(r["doc_id"], r["block"]): r["result"] for r in service.translate_overlay(spark, str(tmp_path)).collect()}
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{path}/*.parquet'")
-    sql = {(d, k): x for d, k, x in con.execute(f"select doc_id, block, result from ({catalogue.ORACLES['translate_overlay_all']})").fetchall()}
+    sql = {(d, k): x for d, k, x in con.execute(f"select doc_id, block, result from ({catalogue.ORACLES['translate_overlay']})").fetchall()}
     assert got == want == sql and sum(len(blocks[k]) > TRANSLATE_CHARS for k in got) > 4
 
 
 def test_every_language_code_is_checked(spark, sf, duck):
-    got = {r["doc_id"]: r["valid"] for r in catalogue.language_validation_all(spark, sf).collect()}
+    got = {r["doc_id"]: r["valid"] for r in catalogue.language_validation(spark, sf).collect()}
     assert got == {d: d % 5 != 1 for d in _texts(duck)}
 
 
 def test_layer_has_whole_pages(spark, sf, duck):
-    got = {(r["doc_id"], r["page"]): r["text"] for r in catalogue.searchable_layer_all(spark, sf).collect()}
+    got = {(r["doc_id"], r["page"]): r["text"] for r in catalogue.searchable_layer(spark, sf).collect()}
     want = {}
     for d, t in _texts(duck).items():
         for i in range((max(len(t), 1) - 1) // 1000 + 1):
