@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import stages
+import quire.llm.stages as stages
 
 #: (name, function) in order; each function takes (spark, docs, sf_dir). All but the last return documents' columns.
 STAGES = [
@@ -15,7 +15,7 @@ STAGES = [
     ("packing", stages.packing),
 ]
 
-#: Learned rules, a trained classifier and packing by a tokenizer are beyond SQL; tests/llm has brute-force versions.
+#: Learned rules, a trained classifier and packing by a tokenizer are beyond SQL; tests/llm runs the stages against plain Python.
 ORACLE_SQL = None
 
 
