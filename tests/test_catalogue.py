@@ -3,7 +3,7 @@
 import pytest
 from compare import rows
 
-from quire.plans import catalogue, service  # noqa: F401  service registers its queries
+from quire.plans import catalogue, files, service  # noqa: F401  these register their queries
 
 
 @pytest.mark.parametrize("name", list(catalogue.QUERIES))
