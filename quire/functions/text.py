@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import importlib.util
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,25 @@ def reverse_words(text: Column) -> Column:
     return F.array_join(F.transform(lines(text), turn), "\n")
 
 
+def _displayed(lines: pd.Series, reshape: bool) -> pd.Series:
+    from bidi.algorithm import get_display
+
+    if reshape:
+        import arabic_reshaper
+
+        lines = lines.map(lambda x: x and arabic_reshaper.reshape(x))
+    return lines.map(lambda x: x and get_display(x))
+
+
+def display(text: Column, language: str) -> Column:
+    """Right-to-left text in the order of display: by the bidirectional algorithm where its library is installed, with
+    Arabic letters joined where that one's is; else each line's words in reverse order."""
+    found = lambda name: importlib.util.find_spec(name) is not None
+    if not found("bidi") or language == "ar" and not found("arabic_reshaper"):
+        return reverse_words(text)
+    return F.pandas_udf(lambda s: _displayed(s, language == "ar"), "string")(text)
+
+
 def chunks(text: Column, size: int = TRANSLATE_CHARS) -> Column:
     """A text in slices of `size` code points, one at least."""
     at = F.sequence(F.lit(0), F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / size).cast("int"))

@@ -38,7 +38,7 @@ def translate_texts(texts: DataFrame, engine: Engine) -> DataFrame:
 
 
 def _turned(column, target: str):
-    return text.reverse_words(column) if target in convert.RTL else column
+    return text.display(column, target) if target in convert.RTL else column
 
 
 def overlay(blocks: DataFrame, engine: Engine, target: str) -> DataFrame:

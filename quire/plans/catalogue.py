@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import layout, text
-from quire.operators import accounts, billing, convert, pages, recognition, storage
+from quire.operators import accounts, billing, convert, pages, protection, recognition, storage
 from quire.sources import codecs
 from quire.sources import tables as src
 from quire.streaming import streams
@@ -465,13 +465,18 @@ def compress_stats(spark, sf):
     return storage.compression(src.stored_files(_docs(spark, sf)).select("file_id", F.col("size").alias("original"), F.expr("size * (file_id % 13) div 10").alias("compressed")))
 
 
-@query("select doc_id, cast(strlen(text) as bigint) as n_bytes, md5(text) as digest, true as same, true as refused from documents")
+@query("""select doc_id, cast(strlen(text) as bigint) as n_bytes, md5(text) as digest, cast(doc_id % 4 * 4 + 512 as bigint) as mask, true as same, true as by_owner, 'Incorrect password' as refused, true as passed from documents""")
 def protect_unlock_roundtrip(spark, sf):
-    key = F.unhex(F.sha2(F.concat(F.lit("secret"), F.col("doc_id").cast("string")).cast("binary"), 256))
-    other = F.unhex(F.sha2(F.lit("wrong").cast("binary"), 256))
-    rows = _docs(spark, sf).withColumn("_locked", F.aes_encrypt(F.encode("text", "utf-8"), key, F.lit("GCM")))
-    opened = F.try_aes_decrypt(F.col("_locked"), key, F.lit("GCM")).cast("string")
-    return rows.select("doc_id", F.octet_length(opened).cast("long").alias("n_bytes"), F.md5(opened.cast("binary")).alias("digest"), (opened == F.col("text")).alias("same"), F.try_aes_decrypt(F.col("_locked"), other, F.lit("GCM")).isNull().alias("refused"))
+    """Opened with the user's password, with the owner's, with a wrong one, and content that was never protected."""
+    secret, given = F.concat(F.lit("secret"), F.col("doc_id").cast("string")), F.when(F.col("doc_id") % 2 == 0, F.lit("master"))
+    rows = _docs(spark, sf).select(F.col("doc_id").alias("id"), F.encode("text", "utf-8").alias("content"), secret.alias("password"), given.alias("owner_password"), (F.col("doc_id") % 4 * 4 + 512).alias("mask"))
+    locked = protection.protect(rows).join(rows.select("id", F.col("content").alias("plain"), "password", "owner_password"), "id")
+    opened = lambda name, password, content="content": protection.unlock(locked.select("id", F.col(content).alias("content"), password.alias("password"))).select("id", *[F.col(c).alias(f"{name}_{c}") for c in ("content", "mask", "error")])
+    owner = F.coalesce("owner_password", F.concat("password", F.lit(protection.OWNER)))
+    both = locked.select("id", "plain").join(opened("user", F.col("password")), "id").join(opened("owner", owner), "id").join(opened("wrong", F.lit("wrong")), "id").join(opened("free", F.lit("x"), "plain"), "id")
+    content = F.col("user_content")
+    return both.select(F.col("id").alias("doc_id"), F.octet_length(content).cast("long").alias("n_bytes"), F.md5(content).alias("digest"), F.col("user_mask").alias("mask"), (content == F.col("plain")).alias("same"),
+                       (F.col("owner_content") == F.col("plain")).alias("by_owner"), F.col("wrong_error").alias("refused"), (F.col("free_content").eqNullSafe(F.col("plain")) & F.col("free_mask").isNull()).alias("passed"))
 
 
 # ---- accounts

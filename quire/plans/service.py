@@ -10,12 +10,15 @@ from quire.plans.catalogue import _FILES, _LINES, _PAGES, _docs, _strip, query
 from quire.sources import tables as src
 from quire.workers import reach
 
-_SETTINGS = """select event_id as id, case event_id % 6 when 0 then 'level' when 1 then 'angle' when 2 then 'dpi' when 3 then 'quality' when 4 then 'mode' else 'other' end as setting,
-  case event_id % 12 when 0 then 'high' when 1 then '90' when 2 then '72' when 3 then '101' when 4 then 'pages' when 6 then 'best' when 7 then '45' when 8 then 'x' when 9 then '10' when 10 then null else '1' end as value from {events}"""
+_SETTINGS = """select event_id as id, element_at(array('level', 'angle', 'dpi', 'quality', 'mode', 'other', 'n_images', 'n_files', 'every_n'), cast(event_id % 9 as int) + 1) as setting,
+  element_at(array('high', '90', '72', '101', 'pages', '0', 'best', '45', 'x', '10', null, '1'), cast(event_id % 12 as int) + 1) as value from {events}"""
+_RANGE = "case setting when 'dpi' then n between 72 and 300 when 'quality' then n between 10 and 100 when 'n_images' then n between 0 and 50 when 'n_files' then n between 2 and 20 when 'every_n' then n between 1 and 10000 end"
 
 
-@query(f"""select *, cast(case when setting = 'other' then 404 when setting in ('level', 'angle', 'mode') then case when value in ('high', '90', 'pages') then 200 else 400 end
-  else case when value in ('72', '10') then 200 else 422 end end as int) as status from ({_SETTINGS.format(events="events")})""")
+@query(f"""with s as (select event_id as id, ['level', 'angle', 'dpi', 'quality', 'mode', 'other', 'n_images', 'n_files', 'every_n'][event_id % 9 + 1] as setting,
+  ['high', '90', '72', '101', 'pages', '0', 'best', '45', 'x', '10', null, '1'][event_id % 12 + 1] as value from events), v as (select *, try_cast(value as bigint) as n from s)
+select id, setting, value, cast(case when setting = 'other' then 404 when setting = 'level' then if(value is not distinct from 'high', 200, 400) when setting = 'angle' then if(value is not distinct from '90', 200, 400)
+  when setting = 'mode' then if(value is not distinct from 'pages', 200, 400) else if(coalesce({_RANGE}, false), 200, 422) end as int) as status from v""")
 def settings_check(spark, sf):
     return requests.check_settings(spark.sql(_SETTINGS, events=src.table(spark, sf, "events")))
 

@@ -213,6 +213,40 @@ def test_translation_dispatch(spark):
         translation.translate(p, b, upper, "xx")
 
 
+def test_unlocking(spark):
+    from quire.operators import protection
+
+    rows = [(1, b"plain", "pw", None, 516), (2, b"", "pw", "boss", 512), (3, b"x" * 100, "pw", "", 4)]
+    locked = protection.protect(spark.createDataFrame(rows, "id long, content binary, password string, owner_password string, mask long"))
+    asked = {1: ["pw", "pw_owner", "other", ""], 2: ["pw", "boss", "pw_owner", None], 3: ["pw", "pw_owner", "boss", "PW"]}
+    tries = spark.createDataFrame([(i, k, p) for i, ps in asked.items() for k, p in enumerate(ps)], "id long, k int, password string")
+    got = protection.unlock(locked.join(tries, "id").withColumn("id", F.col("id") * 10 + F.col("k"))).collect()
+    for r in got:
+        content, mask = rows[r["id"] // 10 - 1][1], rows[r["id"] // 10 - 1][4]
+        assert (r["content"], r["error"], r["mask"]) == ((bytes(content), None, mask) if r["id"] % 10 < 2 else (None, "Incorrect password", mask))
+    free = protection.unlock(spark.createDataFrame([(1, b"never locked", "x"), (2, None, "x")], "id long, content binary, password string")).collect()
+    assert [(r["content"], r["error"]) for r in sorted(free, key=lambda r: r["id"])] == [(b"never locked", None), (None, None)]
+
+
+def test_files_are_listed_without_bytes(spark, tmp_path):
+    from quire.sources import tables
+
+    for name, size in (("a/x.bin", 10), ("a/y.bin", 5), ("b/c/z.bin", 7)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"0" * size)
+    files = tables.files(spark, str(tmp_path))
+    assert "content" not in files.columns
+    top = F.regexp_extract("path", f"{tmp_path.name}/([^/]+)/", 1)
+    got = storage.disk_usage(files.select(top.alias("directory"), F.col("length").alias("size"))).collect()
+    assert {r["directory"]: (r["n_files"], r["bytes"]) for r in got} == {"a": (2, 15), "b": (1, 7), "total": (3, 22)}
+
+
+def test_display_without_the_library(spark):
+    if __import__("importlib.util").util.find_spec("bidi"):
+        pytest.skip("the library is installed")
+    assert one(spark, text.display(F.col("s"), "ar"), s="a b\n\nc d") == "b a\n\nd c"
+
+
 def test_registry_suffix_and_expiry(spark):
     df = spark.sql("select 1L as file_id, 'x' as original_name, 5L as size, timestamp_ntz'2024-01-01 00:00:00' as created_at")
     r = storage.register(df).first()
