@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.workers import reach, shared_dir
 
 #: Bytes of text that a Python worker works on at a time, whatever Spark's batch holds.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,26 +1,29 @@
 """Words of whole texts as 64-bit hashes, with numpy over the bytes of many texts at once.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z. The hash of a word is a polynomial over
-random odd values of its bytes, taken from prefix sums modulo 2**64, so no word becomes a Python object.
+A word is a run of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z. A word of up to LANES * 8 bytes is read in
+lanes of 8 bytes, and the hash is mixed between lanes, so that it has no linear structure; a longer word goes through
+xxh3. No word but those becomes a Python object.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from .common import CHUNK_BYTES
 
+LANES = 4
+
 _RNG = np.random.default_rng(20240229)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_FOLD = np.arange(256)
+_FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_BYTE = (_RNG.integers(0, 2**63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1))[_FOLD]
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+#: The bytes of a lane that belong to a word of which so many are left.
+_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LANE = _RNG.integers(0, 2**63, LANES + 1, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _ORDER = _RNG.integers(0, 2**63, 64, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,16 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
-
-
 def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column without nulls, and where each value begins and the last ends."""
     if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type):
@@ -67,51 +60,63 @@ def _runs(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def _block(data: np.ndarray, first: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    begin, end = _runs(data, first)
-    if most is not None:
-        end = np.minimum(end, begin + most)
-    up, down = _power(len(data))
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    value = (sums[end] - sums[begin]) * down[begin]
-    return mix(value + (end - begin).astype(np.uint64) * np.uint64(_BASE)), begin
+def _hash(folded: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of bytes from begin, of these sizes; folded ends in 8 * LANES zeros."""
+    lanes = np.ndarray(len(folded) - 7, "<u8", folded, strides=(1,))
+    value = mix((lanes[begin] & _LEFT[np.minimum(size, 8)]) ^ _LANE[0])
+    for i in range(1, LANES):
+        more = np.flatnonzero(size > 8 * i)
+        if not len(more):
+            break
+        left = np.minimum(size[more] - 8 * i, 8)
+        value[more] = mix((value[more] + _LANE[i]) ^ (lanes[begin[more] + 8 * i] & _LEFT[left]))
+    for k in np.flatnonzero(size > 8 * LANES).tolist():
+        value[k] = xxhash.xxh3_64_intdigest(folded[begin[k] : begin[k] + size[k]])
+    return mix(value ^ (size.astype(np.uint64) * _LANE[LANES]))
 
 
-def prefixes(array: pa.Array, most: int) -> np.ndarray:
-    """Hashes of the first `most` bytes of all words, in the order of words()."""
-    return words(array, most)[0]
+def _block(data: np.ndarray, first: np.ndarray, most: tuple[int | None, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    begin, end = _runs(data, first)
+    folded = np.zeros(len(data) + 8 * LANES, np.uint8)
+    folded[: len(data)] = _FOLD[data]
+    size = end - begin
+    return [_hash(folded, begin, size if n is None else np.minimum(size, n)) for n in most], begin
 
 
-def words(array: pa.Array, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for text i the range at[i]:at[i+1] of them. Memory: some 40 bytes for each
-    byte of the longest text or of CHUNK_BYTES; longer texts are cut at white space."""
+def beginnings(array: pa.Array, *most: int | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each n of `most` hashes of the first n bytes (None: all) of all words in order, and for text i the range
+    at[i]:at[i+1] of them. Besides the result, some 20 bytes for each of CHUNK_BYTES bytes; longer texts are cut at white
+    space."""
     data, at = buffers(array)
-    found, counts = [], np.zeros(len(array) + 1, np.int64)
+    found: list[list[np.ndarray]] = []
+    counts = np.zeros(len(array) + 1, np.int64)
     row = 0
     while row < len(array):
         stop = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK_BYTES, side="right")) - 1)
         low, high = at[row], at[stop]
-        if high > low:
-            if high - low <= 2 * CHUNK_BYTES:
-                part = data[low:high]
-                first = np.unique(at[row:stop][at[row + 1 : stop + 1] > at[row:stop]] - low)
-                value, begin = _block(part, first, most)
-                found.append(value)
-                counts[row + 1 : stop + 1] = np.diff(np.searchsorted(begin, at[row : stop + 1] - low))
-            else:  # one long text
-                while low < high:
-                    cut = min(high, low + CHUNK_BYTES)
-                    while cut < high and not _SPACE[data[cut]]:
-                        spaces = np.flatnonzero(_SPACE[data[cut : min(high, cut + CHUNK_BYTES)]])
-                        cut = cut + int(spaces[0]) if len(spaces) else min(high, cut + CHUNK_BYTES)
-                    value, _ = _block(data[low:cut], np.zeros(1, np.int64), most)
-                    found.append(value)
-                    counts[row + 1] += len(value)
-                    low = cut
+        if high - low > 2 * CHUNK_BYTES:  # one long text
+            while low < high:
+                cut = min(high, low + CHUNK_BYTES)
+                while cut < high and not _SPACE[data[cut]]:
+                    spaces = np.flatnonzero(_SPACE[data[cut : min(high, cut + CHUNK_BYTES)]])
+                    cut = cut + int(spaces[0]) if len(spaces) else min(high, cut + CHUNK_BYTES)
+                values, begin = _block(data[low:cut], np.zeros(1, np.int64), most)
+                found.append(values)
+                counts[row + 1] += len(begin)
+                low = cut
+        elif high > low:
+            first = np.unique(at[row:stop][at[row + 1 : stop + 1] > at[row:stop]] - low)
+            values, begin = _block(data[low:high], first, most)
+            found.append(values)
+            counts[row + 1 : stop + 1] = np.diff(np.searchsorted(begin, at[row : stop + 1] - low))
         row = stop
-    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.cumsum(counts)
+    return [np.concatenate([np.zeros(0, np.uint64), *(x[i] for x in found)]) for i in range(len(most))], np.cumsum(counts)
+
+
+def words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all whole words, as beginnings()."""
+    (value,), at = beginnings(array, None)
+    return value, at
 
 
 def shingles(value: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -35,9 +35,8 @@ FOLDS = 5
 
 def _hashes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all words - the word and its first 4, 5 and 6 bytes - and the text that each stands in."""
-    whole, at = hashing.words(array)
+    found, at = hashing.beginnings(array, None, *PREFIXES)
     row = np.repeat(np.arange(len(array)), np.diff(at))
-    found = [whole, *(hashing.prefixes(array, n) for n in PREFIXES)]
     mask = np.uint64(2**SPACE_BITS - 1)
     return np.concatenate([hashing.mix(x + np.uint64(i)) & mask for i, x in enumerate(found)]).astype(np.int64), np.tile(row, len(found))
 
