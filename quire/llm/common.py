@@ -13,6 +13,9 @@ from quire.workers import reach, shared_dir
 #: Bytes of text that a Python worker works on at a time, whatever Spark's batch holds.
 CHUNK_BYTES = 256 << 10
 
+#: Bytes of a shuffle's input for each of its parts, and a size that means that the optimizer knows none.
+PART_BYTES, UNKNOWN_BYTES = 512 << 20, 1 << 55
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reach(spark)
@@ -27,8 +30,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(df: DataFrame) -> int:
+    """Into how many parts an operator deals out rows made from df: as the session says, but at least one for each
+    PART_BYTES that df's files are known to hold."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < UNKNOWN_BYTES)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // PART_BYTES))
 
 
 def texts(docs: DataFrame, *keep: str) -> DataFrame:

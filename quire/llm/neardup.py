@@ -6,16 +6,17 @@ ERRORS of them. Each chunk is indexed once for every way to leave out ERRORS com
 distance meet under some key. (At similarity 0.75 a chunk of 5 components has at most one error with probability 0.63;
 with 12 chunks one pair in 170,000 meets under no key.)
 
-1. Documents with equal sets become one class (128-bit digest), so copies cost no pairs.
+1. Rows with equal sets become one class (by size and 128-bit digest) with a number of its own, so copies cost no
+   pairs, and rows that share a doc_id but not a text are apart.
 2. Keys are sorted; each class is paired with the first class of its key. A key's classes stream by, none is gathered.
 3. Pairs are confirmed on their full sets, and classes joined into components.
 4. Keys whose classes are still in different components are looked at again. First each such key pairs another of its
    classes, one by a hash, with those of other components; as a family of near copies meets under dozens of keys, it
    has dozens of centres and grows together. Then what is left is compared in full: all pairs of classes from different
    components under a key, in cells of at most two blocks of BLOCK classes, a pair under the first of its keys alone.
-   Both times pairs go through step 3 only if their signatures are within NEAR and so are their sketches: the SKETCH
-   least elements of a set, which is the whole set if it has no more. After that every pair that meets under a key is
-   confirmed, refuted or within one component.
+   Both times a pair skips step 3 only where it is certain to fall short: by the sizes of the sets, or by their
+   sketches, the SKETCH least elements of each, even if all elements beyond were shared. After that every pair that meets
+   under a key is confirmed, refuted or within one component.
 """
 
 from __future__ import annotations
@@ -34,10 +35,8 @@ from .common import partitions, pieces, stored, texts
 SHINGLE, SIMILAR = 5, 75
 CHUNKS, WIDTH, ERRORS = 12, 5, 1
 COMPONENTS = CHUNKS * WIDTH
-#: Signatures of pairs at the similarity differ in 15 components on average, with a deviation of 3.4; so in more than
-#: NEAR with probability below 1e-7. An estimate by sketches may fall short of the similarity by DEVIATIONS.
-NEAR, SKETCH, DEVIATIONS = 34, 512, 5
-BLOCK = 2048
+SKETCH = 512
+BLOCK = 1024
 #: Pairs of one class that a task confirms.
 STAR = 512
 
@@ -132,8 +131,8 @@ def _starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
 
 
-def shared(keys: DataFrame) -> DataFrame:
-    """key, first, id of all keys with two classes or more, first being the least class of the key."""
+def shared(keys: DataFrame, n: int) -> DataFrame:
+    """key, first, id of all keys with two classes or more, first being the least class of the key; dealt out to n parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int, bool] | None = None  # key, its first class, whether that has been given out
@@ -157,7 +156,6 @@ def shared(keys: DataFrame) -> DataFrame:
             if many.any():
                 yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(first[many]), pa.array(ident[many])], ["key", "first", "id"])
 
-    n = partitions(keys.sparkSession)
     return keys.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, first long, id long")
 
 
@@ -165,7 +163,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similar: int)
     """The pairs (a, b) of classes whose full sets have 100 * intersection >= similar * union.
 
     Pairs are dealt out by (a, part), a part holding about STAR pairs of a; a's text goes to each part, where the other
-    texts stream by it.
+    texts stream by it. A class's text is that of the row `doc` whose set has the class's digests.
     """
     sizes = classes.select("id", "n")
     pairs = pairs.join(sizes.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"id": "b", "n": "nb"}), "b")
@@ -174,30 +172,33 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similar: int)
     pairs = pairs.join(stars, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("part"))
     members = pairs.select("a", "part", F.col("b").alias("id"), F.lit(1).alias("_member"))
     centres = pairs.select("a", "part").distinct().select("a", "part", F.col("a").alias("id"), F.lit(0).alias("_member"))
-    wanted = members.unionByName(centres)
-    rows = wanted.join(docs.withColumnRenamed("doc_id", "id"), "id")
+    wanted = members.unionByName(centres).join(classes.select("id", "doc", "d1", "d2"), "id")
+    rows = wanted.join(docs.withColumnRenamed("doc_id", "doc"), "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, of = None, np.zeros(0, np.uint64)
         for batch in batches:
             for b in pieces(batch):
                 values, at = sets(b.column("text"))
+                own_digests = digests(values, at)
+                own = (own_digests[0] == np.array(b.column("d1"))) & (own_digests[1] == np.array(b.column("d2")))
                 found = []
                 for i, (a, part, ident, member) in enumerate(zip(*(b.column(k).to_pylist() for k in ("a", "part", "id", "_member")), strict=True)):
-                    own = values[at[i] : at[i + 1]]
+                    if not own[i]:  # another row of this doc_id, with another text
+                        continue
+                    those = values[at[i] : at[i + 1]]
                     if not member:
-                        centre, of = (a, part), own.copy()
+                        centre, of = (a, part), those.copy()
                     elif (a, part) == centre:
-                        both = len(np.intersect1d(of, own, assume_unique=True))
-                        if 100 * both >= similar * (len(of) + len(own) - both):
+                        both = len(np.intersect1d(of, those, assume_unique=True))
+                        if 100 * both >= similar * (len(of) + len(those) - both):
                             found.append((a, ident))
                     else:
                         raise ValueError(f"class {a} has no text")
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    n = partitions(docs.sparkSession)
-    rows = rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", "_member", "id")
-    return rows.select("a", "part", "id", "_member", "text").mapInArrow(run, "a long, b long")
+    rows = rows.repartition(partitions(docs), "a", "part").sortWithinPartitions("a", "part", "_member", "id")
+    return rows.select("a", "part", "id", "_member", "d1", "d2", "text").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -238,28 +239,27 @@ class Sets:
         data, at = hashing.buffers(batch.column("sketch"))
         self.sketch, self.at = data.view("<u4"), at // 4
 
-    def row(self, i: int) -> tuple[int, np.ndarray, np.ndarray]:
-        return int(self.n[i]), self.signature[i].copy(), self.sketch[self.at[i] : self.at[i + 1]].copy()
+    def row(self, i: int) -> tuple[int, np.ndarray]:
+        return int(self.n[i]), self.sketch[self.at[i] : self.at[i + 1]].copy()
 
-    def alike(self, one: tuple[int, np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
-        """Those of the rows whose sets may reach the similarity with one row's."""
-        n, signature, sketch = one
+    def alike(self, one: tuple[int, np.ndarray], rows: np.ndarray) -> np.ndarray:
+        """Those of the rows whose sets may reach the similarity with one row's; all others are certain not to."""
+        n, sketch = one
         rows = rows[100 * np.minimum(self.n[rows], n) >= SIMILAR * np.maximum(self.n[rows], n)]
-        rows = rows[(self.signature[rows] != signature).sum(axis=1) <= NEAR]
         if not len(rows):
             return rows
         size = np.diff(self.at)[rows]
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
         values = self.sketch[np.repeat(self.at[rows] - start, size) + np.arange(size.sum())]
-        # both sketches hold their sets up to the lesser of their ends; a sketch that is the whole set has no end
-        whole = np.uint32(0xFFFFFFFF)
-        end = np.minimum(np.where(self.n[rows] > SKETCH, values[start + size - 1], whole), sketch[-1] if n > SKETCH else whole)
-        found = sketch[np.minimum(np.searchsorted(sketch, values), len(sketch) - 1)] == values
-        both = np.add.reduceat(found, start, dtype=np.int64)
-        own = np.searchsorted(sketch, end, side="right")
-        union = own + np.add.reduceat(values <= np.repeat(end, size), start, dtype=np.int64) - both
-        slack = np.where(end == whole, 0.01, DEVIATIONS * np.sqrt(SIMILAR * (100 - SIMILAR) / union) / 100)
-        return rows[both / union >= SIMILAR / 100 - slack]
+        # below the lesser of their ends both sketches hold all of their sets; one that is the whole set has no end
+        whole = 1 << 32
+        end = np.minimum(np.where(self.n[rows] > SKETCH, values[start + size - 1].astype(np.int64), whole), int(sketch[-1]) if n > SKETCH else whole)
+        below = values < np.repeat(end, size)
+        shared = (sketch[np.minimum(np.searchsorted(sketch, values), len(sketch) - 1)] == values) & below
+        # half hashes only make this count too large; beyond the end all elements may be shared
+        beyond = np.minimum(n - np.searchsorted(sketch.astype(np.int64), end), self.n[rows] - np.add.reduceat(below, start, dtype=np.int64))
+        most = np.add.reduceat(shared, start, dtype=np.int64) + beyond
+        return rows[100 * most >= SIMILAR * (n + self.n[rows] - most)]
 
     def first_met(self, i: int, rows: np.ndarray, number: int) -> np.ndarray:
         """Those of the rows that share no key of a lesser number with row i."""
@@ -275,7 +275,7 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _centred(rows: DataFrame) -> DataFrame:
+def _centred(rows: DataFrame, n: int) -> DataFrame:
     """Pairs (a, b) of each key's least class by a hash with its classes of other components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,12 +294,11 @@ def _centred(rows: DataFrame) -> DataFrame:
                 b.append(ids[near])
             yield _pairs(a, b)
 
-    n = partitions(rows.sparkSession)
     rows = rows.select("key", "id", "component", "n", "signature", "sketch").repartition(n, "key").sortWithinPartitions("key", F.xxhash64("id", "key"))
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _crossing(rows: DataFrame) -> DataFrame:
+def _crossing(rows: DataFrame, n: int) -> DataFrame:
     """Pairs (a, b) of classes of different components under one key that may reach the similarity; rows as of _mixed."""
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
     rows = rows.withColumn("_blocks", blocks)
@@ -344,47 +343,83 @@ def _crossing(rows: DataFrame) -> DataFrame:
         if held:
             yield give(whole())
 
-    n = partitions(rows.sparkSession)
     rows = rows.select("key", "x", "y", "own", "component", "id", "n", "signature", "sketch")
     return rows.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "id").mapInArrow(run, "a long, b long").distinct()
 
 
-def link(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable over links, itself included) and kept (doc_id =
-    component_id) of every row.
-
-    Texts without words and null texts have an empty set and no link. Repeated rows each get their row; rows
-    with one doc_id and different texts are judged each by its own text. A row with a null doc_id is linked with nothing: component_id null, kept true. similar must be 75 or
-    more, for which the signature's size is chosen.
-    """
+def _linked(docs: DataFrame, similar: int) -> DataFrame:
+    """doc_id, n, d1, d2, class (null: the set is empty), group (of classes that are linked) and component_id of the rows
+    of texts()."""
     if similar < SIMILAR:
         raise ValueError(f"similar must be {SIMILAR} or more")
-    spark, docs = docs.sparkSession, texts(docs)
     told = stored(describe(docs), "signatures")
-    # one class for each set, named by its least document
-    grouped = told.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
-    classes = stored(grouped, "classes")
-    live = stored(shared(index(classes)), "keys")
+    same = ["n", "d1", "d2"]
+    grouped = told.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
+    classes = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+    dealt = partitions(classes)
+    live = stored(shared(index(classes), dealt), "keys")
     pairs = live.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(confirm(pairs, classes, docs, similar), "links")
     labels = stored(components(links), "labels")
     for more in (_centred, _crossing):
-        new = stored(more(_mixed(live.select("key", "id"), labels, classes)).join(pairs, ["a", "b"], "left_anti"), "more")
+        new = stored(more(_mixed(live.select("key", "id"), labels, classes), dealt).join(pairs, ["a", "b"], "left_anti"), "more")
         if not new.isEmpty():
             pairs = pairs.unionByName(new)
             links = links.unionByName(stored(confirm(new, classes, docs, similar), "links"))
             labels = stored(components(links), "labels")
+    placed = classes.select("id", "doc", *same).join(labels, "id", "left").select("id", "doc", *same, F.coalesce("component", "id").alias("group"))
+    least = placed.groupBy("group").agg(F.min("doc").alias("least"))
+    placed = stored(placed.join(least, "group").select(F.col("id").alias("class"), *same, "group", "least"), "placed")
     # a row whose set no class has can only be one without words
-    named = told.where("doc_id is not null").join(classes.select("n", "d1", "d2", "id"), ["n", "d1", "d2"], "left").join(labels, "id", "left")
-    named = named.select("doc_id", "n", F.coalesce("component", "id", "doc_id").alias("component_id"))
-    named = named.unionByName(told.where("doc_id is null").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
+    named = told.where("doc_id is not null").select("doc_id", *same).join(placed, same, "left")
+    named = named.select("doc_id", *same, "class", "group", F.coalesce("least", "doc_id").alias("component_id"))
+    none = F.lit(None).cast("long")
+    return named.unionByName(told.where("doc_id is null").select("doc_id", *same, none.alias("class"), none.alias("group"), none.alias("component_id")))
+
+
+def link(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable over links, itself included) and kept (doc_id =
+    component_id) of every row.
+
+    Texts without words and null texts have an empty set and no link. Repeated rows each get their row; rows with one
+    doc_id and different texts are judged each by its own text, and are linked by nothing but their texts. A row with a
+    null doc_id is linked with nothing: component_id null, kept true. Ties don't arise, as components don't depend on
+    the order of links. Other columns are not looked at; an empty table gives no rows; very long texts are hashed in
+    pieces. similar must be 75 or more, for which the signature's size is chosen.
+    """
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept)
+    return _linked(texts(docs), similar).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept)
 
 
 def keep(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """One row of each component, with all its columns; rows with a null doc_id stay."""
-    kept = link(docs, similar).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.where("doc_id is not null")
-    once = known.join(kept, known["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null"))
+    """One row of each component, with all its columns: of its least doc_id, and where that has several texts in the
+    component, the one with the least digest.
+
+    Rows with one doc_id and one set count as one document, and one of them stays. Rows with one doc_id and texts of
+    different components stay beside each other. A text without words is a component of its own. Rows with a null doc_id
+    all stay. An empty table stays empty.
+    """
+    whole = stored(_linked(texts(docs), similar).where("doc_id is not null"), "linked")
+    best = F.min(F.struct("n", "d1", "d2")).alias("set")
+    kept = whole.where("doc_id = component_id").groupBy("doc_id", "group").agg(best).select(F.col("doc_id").alias("_doc"), "set.*")
+    several = stored(whole.groupBy(F.col("doc_id").alias("_doc")).count().where("count > 1").select("_doc"), "several")
+    ident = docs["doc_id"].cast("long")
+    if several.isEmpty():
+        out = docs.join(kept, ident == kept["_doc"], "left_semi")
+    else:
+        alone = kept.join(several, "_doc", "left_anti")
+        out = docs.join(alone, ident == alone["_doc"], "left_semi")
+        rest = docs.join(several, ident == several["_doc"], "left_semi").select(F.struct("*").alias("row"), ident.alias("_doc"), F.coalesce("text", F.lit("")).alias("text"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in pieces(batch):
+                    values, at = sets(b.column("text"))
+                    d1, d2 = digests(values, at)
+                    yield pa.RecordBatch.from_arrays([b.column("row"), b.column("_doc"), pa.array(np.diff(at)), pa.array(d1), pa.array(d2)], ["row", "_doc", "n", "d1", "d2"])
+
+        row = rest.select("row").schema.simpleString().removeprefix("struct<row:").removesuffix(">")
+        told = rest.mapInArrow(run, f"row {row}, _doc long, n long, d1 long, d2 long")
+        same = ["_doc", "n", "d1", "d2"]
+        out = out.unionByName(told.join(kept, same, "left_semi").dropDuplicates(same).select("row.*"))
+    return out.unionByName(docs.where("doc_id is null"))

@@ -146,7 +146,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     """
     spark, path = docs.sparkSession, path or tokens.vocabulary("byte_bpe_50k.json")
     docs = texts(docs)
-    n = partitions(spark)
+    n = partitions(docs)
     rows = docs.count()
     share = -(-rows // BOUNDS_ROWS) if rows else 1
     sample = sorted(tuple(r) for r in place(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), None).collect())

@@ -86,7 +86,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_
                 frames = [frame(doc, np.concatenate([ids, end])) for doc, ids in zip(b.column("doc_id").to_pylist(), encoded, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
-    dealt = texts(docs).where("doc_id is not null").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = texts(docs).where("doc_id is not null").repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(f"{out}/records")
     read(spark, out).write.parquet(f"{out}/index")
 

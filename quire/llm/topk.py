@@ -93,7 +93,7 @@ def scan(queries: DataFrame, file: DataFrame, low: np.ndarray, width: np.ndarray
             out.append((qid[s : s + 64][a], eid[b], lower[a, b], upper[a, b]))
         return pa.table(dict(zip(("query_id", "entry", "lower", "upper"), map(np.concatenate, zip(*out)))))
 
-    return q.unionByName(f).repartition(max(partitions(q.sparkSession), 1), "i", "j").groupBy("i", "j").applyInArrow(cell, "query_id long, entry long, lower double, upper double")
+    return q.unionByName(f).repartition(partitions(file), "i", "j").groupBy("i", "j").applyInArrow(cell, "query_id long, entry long, lower double, upper double")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
