@@ -3,9 +3,10 @@
 Plan: one pass hashes each text's words into a vector of BUCKETS counts, projects it to DIMS coordinates and reads its
 place on a Hilbert curve; one shuffle deals the texts out by ranges of that place; each range is sorted, encoded and
 cut into sequences as it streams by, so nothing but the open sequence is held. Range ends come from the keys of about
-BOUNDS_ROWS documents chosen by a hash of the id, so that ranges have as much text: they move work between tasks, never
-rows in or out of the result.
-Equal keys (copies) are parted by a hash of doc_id, so a large group of copies spreads over ranges.
+BOUNDS_ROWS rows drawn at random, so that ranges have as much text: they move work between tasks, never rows in or out
+of the result.
+Equal places on the curve (copies) are parted by a hash of doc_id and text, so a large group of copies spreads over
+ranges; only rows that are repeated with id and text stay together.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,10 @@ from .common import partitions, pieces, texts
 
 LENGTH, END_ID = 2048, 1
 BUCKETS, DIMS, BITS = 1024, 4, 12
-BOUNDS_ROWS = 20_000
+BOUNDS_ROWS, SEED = 20_000, 17
 #: Bytes of text that a document's other costs amount to.
 OVERHEAD = 256
-#: Low bits of the sort key, from a hash of doc_id.
+#: Low bits of the sort key, from a hash of doc_id and text.
 TIE_BITS = 63 - DIMS * BITS
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -74,7 +76,9 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _keys(ids: pa.Array, array: pa.Array) -> np.ndarray:
-    tie = hashing.mix(np.array(ids.fill_null(0)).astype(np.int64).view(np.uint64)) >> np.uint64(64 - TIE_BITS)
+    data, at = hashing.buffers(array)
+    digest = np.array([xxhash.xxh3_64_intdigest(data[a:z]) for a, z in zip(at.tolist(), at[1:].tolist())], np.uint64)
+    tie = hashing.mix(np.array(ids.fill_null(0)).astype(np.int64).view(np.uint64) ^ digest) >> np.uint64(64 - TIE_BITS)
     return hilbert(project(array)) << TIE_BITS | tie.astype(np.int64)
 
 
@@ -148,8 +152,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     docs = texts(docs)
     n = partitions(docs)
     rows = docs.count()
-    share = -(-rows // BOUNDS_ROWS) if rows else 1
-    sample = sorted(tuple(r) for r in place(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), None).collect())
+    sample = sorted(tuple(r) for r in place(docs.where(F.rand(SEED) < min(1.0, BOUNDS_ROWS / max(rows, 1))), None).collect())
     keys, weight = np.array([k for k, _ in sample], np.int64), np.cumsum([size + OVERHEAD for _, size in sample])
     bounds = keys[np.searchsorted(weight, np.arange(1, n) * weight[-1] / n)] if len(keys) else keys
     schema = SCHEMA + (", ids binary" if with_ids else "")
