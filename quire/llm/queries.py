@@ -89,7 +89,7 @@ with r as (
 ), o as (select *, sum(n) over (partition by file order by pos) as high from l)
 select file, pos, page_id, cast(high - n as bigint) as low, cast(high as bigint) as high,
   sha256(concat('leaf:', cast(high - n as bigint), ':', cast(high as bigint), ':', a)) as hash,
-  sha256(concat('leaf:', cast(high - n as bigint), ':', cast(high as bigint), ':', b)) as other_hash, 'corrupt' as kind
+  sha256(concat('leaf:', cast(high - n as bigint), ':', cast(high as bigint), ':', b)) as other_hash, 'corrupt' as kind, cast(1 as bigint) as records, cast(0 as bigint) as shift
 from o where page_id % 97 = 48 and a <> b
 """
 

@@ -5,6 +5,10 @@ and range; a node is the hash of FANOUT children in order and covers their joint
 Two replicas are compared from the roots down: a level is only looked at below nodes of the level above that differ, so
 for a few damaged records the comparison reads a few nodes of each level. Trees are built by DataFrame aggregation, one
 level after another; a group has FANOUT rows at most.
+
+A lost or added record moves all that come after it, and so changes their leaves. So the differing leaves of both sides
+are matched once more by record, and their digests compared apart from the offsets: what has only moved is told as one
+range for each distance.
 """
 
 from __future__ import annotations
@@ -40,19 +44,19 @@ def warc_records(pages: DataFrame) -> DataFrame:
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """file, pos (the record's number in its file), page_id, low, high (its range of offsets) and hash, in the order of
-    page_id, then of the record's hash for repeated ids."""
+    """file, pos (the record's number in its file), page_id, nth (of equal page_ids), low, high (its range of offsets), sha
+    (of the record) and hash (of both), in the order of page_id, then of the record's hash for repeated ids."""
     small = records.select("file", "page_id", F.octet_length("data").cast("long").alias("_n"), F.sha2("data", 256).alias("_sha"))
     by_file = Window.partitionBy("file").orderBy("page_id", "_sha")
-    rows = small.select("file", (F.row_number().over(by_file) - 1).cast("long").alias("pos"), "page_id", F.sum("_n").over(by_file.rowsBetween(Window.unboundedPreceding, 0)).alias("high"), "_n", "_sha")
+    rows = small.select("file", (F.row_number().over(by_file) - 1).cast("long").alias("pos"), "page_id", (F.row_number().over(by_file) - F.rank().over(Window.partitionBy("file").orderBy("page_id"))).cast("long").alias("nth"), F.sum("_n").over(by_file.rowsBetween(Window.unboundedPreceding, 0)).alias("high"), "_n", "_sha")
     rows = rows.withColumn("low", F.col("high") - F.col("_n"))
-    return rows.select("file", "pos", "page_id", "low", "high", F.sha2(F.concat_ws(":", F.lit("leaf"), "low", "high", "_sha").cast("binary"), 256).alias("hash"))
+    return rows.select("file", "pos", "page_id", "nth", "low", "high", F.col("_sha").alias("sha"), F.sha2(F.concat_ws(":", F.lit("leaf"), "low", "high", "_sha").cast("binary"), 256).alias("hash"))
 
 
 def tree(leaf: DataFrame, name: str, fanout: int = FANOUT) -> list[DataFrame]:
     """Levels from the leaves up to one root for each file, each written to the shared folder: file, pos, low, high,
     hash; the number of levels follows from the largest file."""
-    level = stored(leaf.select("file", "pos", "page_id", "low", "high", "hash"), f"{name}-0")
+    level = stored(leaf.select("file", "pos", "page_id", "nth", "low", "high", "sha", "hash"), f"{name}-0")
     most = level.agg(F.max("pos")).first()[0]
     levels = [level]
     while most:
@@ -65,11 +69,13 @@ def tree(leaf: DataFrame, name: str, fanout: int = FANOUT) -> list[DataFrame]:
 
 
 def audit(first: list[DataFrame], second: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """Leaves in which two trees differ: file, pos, page_id, low, high of the first replica (of the second where only it
-    has the leaf), hash and other_hash, and kind: corrupt, missing (in the second) or extra.
+    """Where two trees differ: file, pos, page_id, low, high of the first replica (of the second where only it has the
+    record), hash and other_hash of the leaves, kind, records and shift.
 
-    Equal trees give no rows, as do two empty tables. Where lengths changed, all later ranges of that file differ and
-    are reported; find the record that began it by the least `pos`.
+    kind is corrupt (a record's bytes differ), missing (in the second), extra, or moved: a row for all records of a file
+    that are whole but `shift` bytes further on in the second replica, from the first of them (pos, page_id, low) to the end
+    of the last (high), `records` of them, without hashes. Records with one page_id in a file are matched in the order of
+    their digests. Equal trees give no rows, as do two empty tables.
     """
     height = max(len(first), len(second))
     # a shorter tree has its roots again on each level above
@@ -89,12 +95,20 @@ def audit(first: list[DataFrame], second: list[DataFrame], fanout: int = FANOUT)
         suspects = stored(differ.select("file", F.col("pos").alias("_up")), f"suspects-{depth}")
         if suspects.isEmpty():
             break
-    names = ["page_id", "low", "high"]
+    # leaves that differ where they stand, matched by record
+    stands = ["file", "pos", "hash"]
     a, b = below(first[0]), below(second[0])
-    b = b.select("file", "pos", *[F.col(c).alias(f"_{c}") for c in names], F.col("hash").alias("other_hash"))
-    both = a.select("file", "pos", *names, "hash").join(b, ["file", "pos"], "full").where(~F.col("hash").eqNullSafe(F.col("other_hash")))
-    kind = F.when(F.col("hash").isNull(), "extra").when(F.col("other_hash").isNull(), "missing").otherwise("corrupt")
-    return both.select("file", "pos", *[F.coalesce(c, f"_{c}").alias(c) for c in names], "hash", "other_hash", kind.alias("kind"))
+    a, b = a.join(b.select(*stands), stands, "left_anti"), b.join(a.select(*stands), stands, "left_anti")
+    names = ["pos", "low", "high", "sha", "hash"]
+    both = a.join(b.withColumnsRenamed({c: f"_{c}" for c in names}), ["file", "page_id", "nth"], "full")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    kind = F.when(F.col("hash").isNull(), "extra").when(F.col("_hash").isNull(), "missing").when(F.col("sha") != F.col("_sha"), "corrupt").otherwise("moved")
+    both = stored(both.withColumn("kind", kind), "differing")
+    found = both.where("kind <> 'moved'").select("file", F.coalesce("pos", "_pos").alias("pos"), "page_id", *[F.coalesce(c, f"_{c}").alias(c) for c in ("low", "high")], "hash", F.col("_hash").alias("other_hash"), "kind", one.alias("records"), none.alias("shift"))
+    moved = both.where("kind = 'moved'").withColumn("shift", F.col("_low") - F.col("low")).groupBy("file", "shift")
+    moved = moved.agg(F.min("pos").alias("pos"), F.min_by("page_id", "pos").alias("page_id"), F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("records"))
+    empty = F.lit(None).cast("string")
+    return found.unionByName(moved.withColumns({"hash": empty, "other_hash": empty, "kind": F.lit("moved")}))
 
 
 def damaged(records: DataFrame, one_in: int = 97) -> DataFrame:
