@@ -2,7 +2,7 @@
 
 Tier one is a broadcast table of the lengths of the most frequent pre-tokens, at most FREQUENT entries of at most
 LONGEST_KEY bytes, so below 3 MB for any corpus. Tier two is a worker's own cache of the pre-tokens that it has had to
-encode, bounded by CACHE. A pre-token is a run of spaces with what follows it up to the next space: no piece of the
+encode, in two generations of at most CACHE; it lives as long as the worker, over all its tasks. A pre-token is a run of spaces with what follows it up to the next space: no piece of the
 vocabulary goes on across such a border (checked when the model is loaded), so lengths of pre-tokens add up exactly.
 
 The table comes from a pass over all texts: each partition counts its pre-tokens and hands on its HEAD most frequent.
@@ -25,7 +25,7 @@ from .common import pieces, texts
 
 LIMIT = 4096
 FREQUENT, LONGEST_KEY, HEAD = 65_536, 32, 8_192
-CACHE = 300_000
+CACHE = 150_000
 _SPACE = "▁"
 _GROUP = re.compile(" +[^ ]*")
 
@@ -39,8 +39,23 @@ class Lengths:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.additive = _SPACE in names and not any(_SPACE in x.lstrip(_SPACE) for x in names) and self.model.encode("a b", out_type=str)[0].startswith(_SPACE)
-        self.frequent = frequent | {"": 1}  # a single space at the end; the library's own first space doesn't come alone
-        self.table = dict(self.frequent)
+        self.use(frequent, None)
+
+    def use(self, frequent: dict[str, int], ident: int | None) -> None:
+        """Takes a table for tier one, known by its broadcast's number, and empties tier two."""
+        # "": a single space at the end; the library's own first space doesn't come alone
+        self.frequent, self.ident = frequent | {"": 1}, ident
+        self.table, self.before = {}, {}
+
+    @classmethod
+    def shared(cls, path: str, ident: int, frequent: dict[str, int]) -> Lengths:
+        """One for each worker process."""
+        one = tokens._loaded.get((cls, path))
+        if one is None:
+            one = tokens._loaded[cls, path] = cls(path, {})
+        if one.ident != ident:
+            one.use(frequent, ident)
+        return one
 
     def _groups(self, text: str) -> list[str]:
         """Pre-tokens without their first space, which the library puts before every text itself."""
@@ -51,14 +66,18 @@ class Lengths:
         cut = [self._groups(x) if x else [] for x in texts_]
         for i in whole:
             cut[i] = []
-        wanted = set().union(*cut)
-        missing = list(wanted.difference(self.table))
-        if len(self.table) + len(missing) > CACHE + len(self.frequent):
-            self.table = self.frequent | {x: self.table[x] for x in wanted if x in self.table}
-        if missing:
-            self.table.update(zip(missing, map(len, self.model.encode(missing, num_threads=1)), strict=True))
-        get = self.table.__getitem__
-        out = [sum(map(get, x)) for x in cut]
+        rare = set().union(*cut).difference(self.frequent)
+        missing = rare.difference(self.table)
+        if len(self.table) + len(missing) > CACHE:
+            self.table, self.before = {}, self.table
+            missing = rare
+        again = missing.intersection(self.before)
+        self.table.update((x, self.before[x]) for x in again)
+        missing = list(missing - again)
+        self.table.update(zip(missing, map(len, self.model.encode(missing, num_threads=1)), strict=True))
+        get, often = self.table.get, self.frequent.get
+        # a pre-token has one piece at least, so a length is never 0
+        out = [sum(often(x) or get(x) for x in parts) for parts in cut]
         for i in whole:
             out[i] = len(self.model.encode(texts_[i]))
         return out
@@ -85,13 +104,15 @@ def frequent(docs: DataFrame, path: str) -> dict[str, int]:
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every text; a null text counts as empty.
-    One row per row, also for equal doc_ids; an empty table gives no rows."""
+    One row per row, also for equal doc_ids; an empty table gives no rows. Other columns are not looked at. A text of any
+    length is counted whole, and its pre-tokens are held in memory."""
     path = path or tokens.vocabulary("piece_bpe_32k.model")
     docs = texts(docs)
     table = docs.sparkSession.sparkContext.broadcast(frequent(docs, path))
+    ident = id(table) if table._jbroadcast is None else table._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = Lengths(path, table.value)
+        lengths = Lengths.shared(path, ident, table.value)
         for batch in batches:
             for b in pieces(batch):
                 n = pa.array(lengths.count(b.column("text").to_pylist()), pa.int64())
