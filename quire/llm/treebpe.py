@@ -1,7 +1,7 @@
 """Byte-level BPE of long texts as a tree: halves are encoded side by side, then joined.
 
-A text above LEAF bytes is halved until its parts fit, all parts of a batch are encoded in one call, and neighbours are
-joined upwards. A join takes a window of both sides around the cut, from token boundary to token boundary, encodes it
+A text above LEAF bytes is halved until its parts fit, the parts of a batch are encoded by THREADS threads (the encoder
+lets go of the interpreter while it works), and neighbours are joined upwards. A join takes a window of both sides around the cut, from token boundary to token boundary, encodes it
 again and looks whether it agrees with both sides; if not, the window grows fourfold, at most to both sides whole. It
 agrees on a side if
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from .common import pieces, texts
 
 LEAF = 4096
 WINDOW = 48
+#: Threads that encode the leaves of a batch; a batch of fewer leaves for each than LEAVES isn't shared out.
+THREADS, LEAVES = 2, 64
 
 _LETTERS = re.compile(rb"[A-Za-z]+")
 
@@ -43,11 +46,11 @@ def _char(data: bytes, p: int) -> bool:
 
 
 class TreeEncoder:
-    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW):
+    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW, threads: int = THREADS):
         self.encoder = tokens.ByteEncoder.shared(path)
         self.bytes = self.encoder.merges.bytes
         self.sizes = np.array([len(x) for x in self.bytes], np.int64)
-        self.leaf, self.window = leaf, window
+        self.leaf, self.window, self.threads = leaf, window, threads
         special = self.encoder.merges.special
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
@@ -55,9 +58,17 @@ class TreeEncoder:
         """The ids of each whole text."""
         leaves: list[str] = []
         plans = [self._plan(text, leaves) for text in texts_]
-        done = self.encoder.encode(leaves)
+        done = self._leaves(leaves)
         return [self._build(plan, done) for plan in plans]
 
+    def _leaves(self, leaves: list[str]) -> list[np.ndarray]:
+        each = -(-len(leaves) // self.threads)
+        if each < LEAVES:
+            return self.encoder.encode(leaves)
+        with ThreadPoolExecutor(self.threads) as pool:
+            parts = pool.map(self.encoder.encode, [leaves[i : i + each] for i in range(0, len(leaves), each)])
+            return [x for part in parts for x in part]
+
     def _plan(self, text: str, leaves: list[str]) -> list:
         """Parts of a text: leaves' numbers for short ones; for long ones the bytes and a tree of numbers. Special
         tokens in a text are ids of their own, which no part crosses."""
@@ -150,7 +161,8 @@ class TreeEncoder:
 
 def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, with_ids: bool = True) -> DataFrame:
     """Encodes every text (null: empty) and decodes it again: doc_id, n_tokens, ids_sha256, decoded_sha256 and, where
-    with_ids, ids (binary, little-endian unsigned 32-bit) and decoded. One row per row; no rows for an empty table."""
+    with_ids, ids (binary, little-endian unsigned 32-bit) and decoded. One row per row, repeated ones too; no rows for an
+    empty table; other columns are not looked at."""
     path = path or tokens.vocabulary("byte_bpe_50k.json")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
