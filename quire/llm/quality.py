@@ -215,7 +215,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> DecisionList:
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """doc_id, BASE, base_failed, kept and rule (the covering rule's number or null) of every row."""
+    """doc_id, BASE, base_failed, kept and rule (the covering rule's number or null) of every row. Each row is judged by its
+    own text, repeated rows alike; a null text has no words and fails the base; of several rules that cover a text the
+    first counts; other columns are not looked at; an empty table gives no rows. A text of any length is one row's work, and
+    its words are held in memory."""
     s = F.col("s")
     rows = docs.select("doc_id", statistics(F.col("text")).alias("s")).select("doc_id", "s", base_failed(s).alias("base_failed"), rules.rule(s).alias("rule"))
     counts = [s["lines"]["dup"].alias(k) if k == "n_dup_lines" else s[k].alias(k) for k in BASE]
@@ -223,6 +226,6 @@ def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """The rows that are kept, with all their columns."""
+    """The rows that judge() keeps, with all their columns, whatever their names; repeated rows stay repeated."""
     s = statistics(F.col("text"))
     return docs.where(_bind(s, lambda x: ~base_failed(x) & rules.rule(x).isNull()))
