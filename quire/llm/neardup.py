@@ -8,7 +8,8 @@ with 12 chunks one pair in 170,000 meets under no key.)
 
 1. Rows with equal sets become one class (by size and 128-bit digest) with a number of its own, so copies cost no
    pairs, and rows that share a doc_id but not a text are apart.
-2. Keys are sorted; each class is paired with the first class of its key. A key's classes stream by, none is gathered.
+2. Keys are sorted, by ranges of (key, class), so that a frequent key is the work of many tasks; each class is paired
+   with the first class of its key. A key's classes stream by, none is gathered.
 3. Pairs are confirmed on their full sets, and classes joined into components.
 4. Keys whose classes are still in different components are looked at again. First each such key pairs another of its
    classes, one by a hash, with those of other components; as a family of near copies meets under dozens of keys, it
@@ -36,9 +37,9 @@ SHINGLE, SIMILAR = 5, 75
 CHUNKS, WIDTH, ERRORS = 12, 5, 1
 COMPONENTS = CHUNKS * WIDTH
 SKETCH = 512
-BLOCK = 1024
+BLOCK, HELD = 1024, 65_536
 #: Pairs of one class that a task confirms.
-STAR = 512
+STAR = 128
 
 _RNG = np.random.default_rng(65537)
 _FLIP = _RNG.integers(0, 2**32, COMPONENTS, dtype=np.uint64).astype(np.uint32)
@@ -132,31 +133,53 @@ def _starts(keys: np.ndarray) -> np.ndarray:
 
 
 def shared(keys: DataFrame, n: int) -> DataFrame:
-    """key, first, id of all keys with two classes or more, first being the least class of the key; dealt out to n parts."""
+    """key, first, id of all keys with two classes or more, first being the least class of the key; dealt out to about n
+    parts by ranges of (key, id). A range knows all classes of a key that begins and ends in it; of its first and last key
+    it may know some, and these are settled afterwards: two keys a range at most, and those with more classes than HELD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, bool] | None = None  # key, its first class, whether that has been given out
+        held, begun, known = None, False, []  # the key at hand, whether its rows are settled afterwards, its ids so far
+
+        def give(key: np.ndarray, first: np.ndarray, ident: np.ndarray, edge: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(first), pa.array(ident), pa.array(np.full(len(key), edge))], ["key", "first", "id", "edge"])
+
+        def alone(ids: np.ndarray, edge: bool) -> pa.RecordBatch:
+            return give(np.full(len(ids), held), np.full(len(ids), ids[0]), ids, edge)
+
         for batch in batches:
             key, ident = np.array(batch.column("key")), np.array(batch.column("id"))
             if not len(key):
                 continue
-            starts = _starts(key)
-            sizes = np.diff(np.append(starts, len(key)))
-            first = np.repeat(ident[starts], sizes)
+            if held is None:
+                held, begun = key[0], True
+            more = int(np.searchsorted(key, held, side="right")) if key[0] == held else 0
+            if more:
+                if begun:
+                    yield alone(ident[:more], True)
+                else:
+                    known.append(ident[:more])
+                    if sum(map(len, known)) > HELD:  # too many to hold: settled afterwards as well
+                        yield alone(np.concatenate(known), True)
+                        begun, known = True, []
+            key, ident = key[more:], ident[more:]
+            if not len(key):
+                continue
+            if not begun and sum(map(len, known)) > 1:
+                yield alone(np.concatenate(known), False)
+            last = int(np.searchsorted(key, key[-1], side="left"))  # the batch's last key may go on
+            starts = _starts(key[:last]) if last else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(starts, last))
             many = np.repeat(sizes > 1, sizes)
-            extra = None
-            if last and last[0] == key[0]:
-                first[: sizes[0]], many[: sizes[0]] = last[1], True
-                extra = None if last[2] else (last[0], last[1])
-                last = (*last[:2], True)
-            if extra:
-                yield pa.RecordBatch.from_arrays([pa.array([extra[0]]), pa.array([extra[1]]), pa.array([extra[1]])], ["key", "first", "id"])
-            if not (last and last[0] == key[-1]):
-                last = (int(key[-1]), int(first[-1]), bool(many[-1]))
             if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(first[many]), pa.array(ident[many])], ["key", "first", "id"])
+                yield give(key[:last][many], np.repeat(ident[starts], sizes)[many], ident[:last][many], False)
+            held, begun, known = key[-1], False, [ident[last:]]
+        if held is not None and not begun:
+            yield alone(np.concatenate(known), True)
 
-    return keys.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, first long, id long")
+    told = stored(keys.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInArrow(run, "key long, first long, id long, edge boolean"), "ranges")
+    whole, edge = told.where("not edge").select("key", "first", "id"), told.where("edge").select("key", "id")
+    settled = edge.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("_n")).where("_n > 1").select("key", "first")
+    return whole.unionByName(edge.join(F.broadcast(settled), "key").select("key", "first", "id"))
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similar: int) -> DataFrame:
@@ -168,7 +191,10 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similar: int)
     sizes = classes.select("id", "n")
     pairs = pairs.join(sizes.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"id": "b", "n": "nb"}), "b")
     pairs = pairs.where(100 * F.least("na", "nb") >= similar * F.greatest("na", "nb"))
-    stars = pairs.groupBy("a").agg(F.count("*").alias("_pairs")).withColumn("_parts", F.ceil(F.col("_pairs") / STAR))
+    # written, as are other sums over a key that rows of the key are joined with: Spark splits a skewed key of a join only
+    # where both sides come from a shuffle as they are
+    pairs = stored(pairs, "sized")
+    stars = stored(pairs.groupBy("a").agg(F.count("*").alias("_pairs")).withColumn("_parts", F.ceil(F.col("_pairs") / STAR)), "stars")
     pairs = pairs.join(stars, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("part"))
     members = pairs.select("a", "part", F.col("b").alias("id"), F.lit(1).alias("_member"))
     centres = pairs.select("a", "part").distinct().select("a", "part", F.col("a").alias("id"), F.lit(0).alias("_member"))
@@ -203,31 +229,42 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similar: int)
 
 def components(links: DataFrame) -> DataFrame:
     """id, component (the least id reachable) of all ids in links (a, b), by alternating large and small stars; each
-    round is written to the shared folder, and nothing but a count comes to the driver."""
+    round is written to the shared folder, and nothing but whether it was the last comes to the driver. It was if no id
+    hangs on one that hangs on another: then each star is a component, as rounds never part or join components."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = stored(edges, "edges")
-    before = None
-    while True:
+    while not edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi").isEmpty() or not edges.groupBy("u").count().where("count > 1").isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         # large star: every greater neighbour of u hangs on the least of u's neighbourhood
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # small star: u and its lesser neighbours hang on the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = stored(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _mixed(keys: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """key, _n, component, id, n, signature, sketch of the keys that have classes of different components; _n of them."""
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels as of components() with the links of further pairs (a, b): only components that these join are looked at."""
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b")
+    over = stored(components(ends), "over")
+    old = labels.join(over.select(F.col("id").alias("component"), F.col("component").alias("_over")), "component", "left").select("id", F.coalesce("_over", "component").alias("component"))
+    return old.unionByName(over.join(labels, "id", "left_anti").select("id", "component"))
+
+
+def _mixed(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, id, component, _n, centre of the keys that have classes of different components: _n of them, and one by a
+    hash as the key's centre."""
     rows = keys.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("_n")).where("low < high")
-    return rows.join(mixed.select("key", "_n"), "key").join(classes.select("id", "n", "signature", "sketch"), "id")
+    by = rows.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n"), F.min_by("id", F.xxhash64("id", "key")).alias("centre"))
+    mixed = stored(by.where("_low < _high").select("key", "_n", "centre"), "mixed")
+    return stored(rows.join(mixed, "key"), "rows")
+
+
+def _with_sets(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    return rows.join(classes.select("id", "n", "signature", "sketch"), "id")
 
 
 class Sets:
@@ -275,31 +312,39 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _centred(rows: DataFrame, n: int) -> DataFrame:
-    """Pairs (a, b) of each key's least class by a hash with its classes of other components."""
+def _centred(rows: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """Pairs (a, b) of each key's centre with its classes of other components; rows as of _mixed. A key is dealt out in
+    parts of about BLOCK classes, each with the centre before them."""
+    parts = F.ceil(F.col("_n") / BLOCK).cast("int")
+    others = rows.where("id <> centre").select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(1).alias("_member"), "id", "component")
+    centres = rows.where("id = centre").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("_member"), "id", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # key, id, component and sets of the centre
+        last: tuple | None = None  # id, component and sets of the centre
         for batch in batches:
-            key, ids, comp = (np.array(batch.column(k)) for k in ("key", "id", "component"))
-            if not len(key):
+            ids, comp = (np.array(batch.column(k)) for k in ("id", "component"))
+            if not len(ids):
                 continue
             known, a, b = Sets(batch), [], []
-            starts = _starts(key)
-            for s, e in zip(starts, np.append(starts[1:], len(key))):
-                if not (last and last[0] == key[s]):
-                    last = (key[s], ids[s], comp[s], known.row(s))
-                near = known.alike(last[3], s + np.flatnonzero(comp[s:e] != last[2]))
-                a.append(np.full(len(near), last[1]))
-                b.append(ids[near])
+            starts = np.flatnonzero(np.array(batch.column("_member")) == 0)
+            ends = np.append(starts, len(ids))
+            for i in range(-1, len(starts)):
+                s, e = (0 if i < 0 else starts[i]), ends[i + 1]
+                if i >= 0:
+                    last = (ids[s], comp[s], known.row(s))
+                if s < e:
+                    near = known.alike(last[2], s + np.flatnonzero(comp[s:e] != last[1]))
+                    a.append(np.full(len(near), last[0]))
+                    b.append(ids[near])
             yield _pairs(a, b)
 
-    rows = rows.select("key", "id", "component", "n", "signature", "sketch").repartition(n, "key").sortWithinPartitions("key", F.xxhash64("id", "key"))
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    dealt = _with_sets(others.unionByName(centres), classes).select("key", "part", "_member", "id", "component", "n", "signature", "sketch")
+    return dealt.repartition(n, "key", "part").sortWithinPartitions("key", "part", "_member", "id").mapInArrow(run, "a long, b long").distinct()
 
 
-def _crossing(rows: DataFrame, n: int) -> DataFrame:
+def _crossing(rows: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """Pairs (a, b) of classes of different components under one key that may reach the similarity; rows as of _mixed."""
+    rows = _with_sets(rows, classes)
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
     rows = rows.withColumn("_blocks", blocks)
     own = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
@@ -359,14 +404,12 @@ def _linked(docs: DataFrame, similar: int) -> DataFrame:
     dealt = partitions(classes)
     live = stored(shared(index(classes), dealt), "keys")
     pairs = live.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(confirm(pairs, classes, docs, similar), "links")
-    labels = stored(components(links), "labels")
+    labels = stored(components(confirm(pairs, classes, docs, similar)), "labels")
     for more in (_centred, _crossing):
-        new = stored(more(_mixed(live.select("key", "id"), labels, classes), dealt).join(pairs, ["a", "b"], "left_anti"), "more")
+        new = stored(more(_mixed(live.select("key", "id"), labels), classes, dealt).join(pairs, ["a", "b"], "left_anti"), "more")
         if not new.isEmpty():
             pairs = pairs.unionByName(new)
-            links = links.unionByName(stored(confirm(new, classes, docs, similar), "links"))
-            labels = stored(components(links), "labels")
+            labels = stored(joined(labels, stored(confirm(new, classes, docs, similar), "links")), "labels")
     placed = classes.select("id", "doc", *same).join(labels, "id", "left").select("id", "doc", *same, F.coalesce("component", "id").alias("group"))
     least = placed.groupBy("group").agg(F.min("doc").alias("least"))
     placed = stored(placed.join(least, "group").select(F.col("id").alias("class"), *same, "group", "least"), "placed")
