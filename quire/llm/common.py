@@ -8,8 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.workers import reach, shared_dir
+from quire.workers import reach as _reach
+from quire.workers import shared_dir
 
+#: Bytes of a batch that goes to a Python worker, unless the session says otherwise: Spark's own limit of 10,000 rows is
+#: hundreds of MB where texts are long, twice over, once on either side.
+BATCH_BYTES = 4 << 20
 #: Bytes of text that a Python worker works on at a time, whatever Spark's batch holds.
 CHUNK_BYTES = 256 << 10
 
@@ -17,6 +21,14 @@ CHUNK_BYTES = 256 << 10
 PART_BYTES, UNKNOWN_BYTES = 512 << 20, 1 << 55
 
 
+def reach(spark: SparkSession) -> None:
+    """Workers import this package from where the driver has it, and get batches of bounded size."""
+    _reach(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,10 +45,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def partitions(df: DataFrame) -> int:
     """Into how many parts an operator deals out rows made from df: as the session says, but at least one for each
     PART_BYTES that df's files are known to hold."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known_bytes(df) // PART_BYTES))
+
+
+def known_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df is made from, as far as the optimizer knows."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    known = sum(x for x in sizes if x < UNKNOWN_BYTES)
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // PART_BYTES))
+    return sum(x for x in sizes if x < UNKNOWN_BYTES)
 
 
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
