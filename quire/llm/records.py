@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import partitions, pieces, texts
+from .common import known_bytes, partitions, passing_shuffles, pieces, texts
 
 END_ID = 1
+#: About how large a file gets; a reader holds one at a time.
+FILE_BYTES = 64 << 20
 #: Fixed value: the constant of the usual masked checksum.
 MASK = 0xA282EAD8
 _HEAD, _FOOT, _BODY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qB")
@@ -75,7 +77,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_
     shard, doc_id, offset, length, before (ids of the shard before the record), n_tokens, ids_crc32.
 
     Rows with equal doc_id give a record each, in the order of their texts. Rows with a null doc_id cannot be addressed
-    and are not written. An empty table gives no files."""
+    and are not written. An empty table gives no files. A file has as many records as fill FILE_BYTES on average."""
     spark, path = docs.sparkSession, path or tokens.vocabulary("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,14 +89,19 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
     dealt = texts(docs).where("doc_id is not null").repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(f"{out}/records")
+    frames = dealt.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    known = known_bytes(docs)
+    per_file = max(1, FILE_BYTES * docs.count() // known) if known else FILE_BYTES >> 10
+    with passing_shuffles(spark):
+        frames.write.option("maxRecordsPerFile", max(per_file, 1)).text(f"{out}/records")
     read(spark, out).write.parquet(f"{out}/index")
 
 
 def files(spark: SparkSession, out: str) -> DataFrame:
-    """The record files with their number in the order of doc_id."""
+    """The record files with their number in the order of doc_id: that of the task, then that of its file."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{out}/records")
-    return found.select(F.regexp_extract("path", "/part-([0-9]+)[^/]*$", 1).cast("long").alias("shard"), "content")
+    number = lambda group: F.regexp_extract("path", "/part-([0-9]+)-[^/]*-c([0-9]+)[^/]*$", group).cast("long")
+    return found.select((number(1) * (1 << 20) + number(2)).alias("shard"), "content")
 
 
 def read(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame:
@@ -123,7 +130,8 @@ def read(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame:
 
 def fetch(spark: SparkSession, out: str, wanted: DataFrame) -> DataFrame:
     """A shuffled read: the records of the doc_ids in `wanted`, found through the index; only their frames are parsed.
-    doc_id, ids (binary, little-endian unsigned 32-bit)."""
+    doc_id, ids (binary, little-endian unsigned 32-bit). An id that isn't there gives no row, one asked for twice gives
+    its records once, one that has several records gives them all; null ids are not asked for."""
     at = spark.read.parquet(f"{out}/index").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     by_shard = at.groupBy("shard").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
 
