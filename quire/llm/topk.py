@@ -24,6 +24,8 @@ from .common import partitions, stored
 K, SCALE = 10, 1024
 CELLS = 256
 QUERY_BLOCK, FILE_BLOCK = 1024, 8192
+#: Shares in which a query's candidates are ranked first.
+SALTS = 16
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -60,11 +62,26 @@ def approximate(entries: DataFrame, low: np.ndarray, width: np.ndarray) -> DataF
 
 def bounds(query: np.ndarray, code: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds (queries, vectors) of inner products. A component in cell c lies between low + c * width
-    and width - 1 more. Sums stay far below 2**53, so doubles are exact."""
-    q = query.astype(np.float64)
-    middle = q @ (low + code * width).astype(np.float64).T
+    and width - 1 more. Sums below 2**53 are exact as doubles; beyond that the bounds are widened by what rounding can do."""
+    q, cells = query.astype(np.float64), (low + code * width).astype(np.float64)
+    middle = q @ cells.T
     spread = (width - 1).astype(np.float64)
-    return middle + (np.minimum(q, 0) @ spread)[:, None], middle + (np.maximum(q, 0) @ spread)[:, None]
+    lower, upper = middle + (np.minimum(q, 0) @ spread)[:, None], middle + (np.maximum(q, 0) @ spread)[:, None]
+    size = np.abs(q) @ (np.abs(cells).max(axis=0, initial=0) + spread)
+    if len(size) and size.max() >= 2**53:
+        slack = (size * (2 * q.shape[1] + 4) * 2.0**-52)[:, None]
+        lower, upper = lower - slack, upper + slack
+    return lower, upper
+
+
+def best(rows: DataFrame, n: int, *order) -> DataFrame:
+    """The first n rows of each query_id in an order. Rows are ranked in SALTS shares of a query before they meet, so that
+    a query with very many rows is the work of many tasks, and n * SALTS of them at most meet in one."""
+    share = F.pmod(F.xxhash64(F.struct(*[c for c in rows.columns if c != "query_id"])), F.lit(SALTS))
+    rows = rows.withColumn("_share", share)
+    for by in (["query_id", "_share"], ["query_id"]):
+        rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= n)
+    return rows.drop("_share")
 
 
 def scan(queries: DataFrame, file: DataFrame, low: np.ndarray, width: np.ndarray, k: int, n_queries: int, n_file: int) -> DataFrame:
@@ -100,8 +117,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     """query_id, rank (from 1), vec_id, score of the k highest inner products of each query with all rows of `vectors`
     but the one with its own id; ties go to the smaller vec_id, fewer rows give fewer results.
 
-    Both tables have vec_id and embedding, all of one length. Rows with equal vec_id count once for each distinct
-    vector. An empty table on either side gives no rows.
+    Both tables have vec_id and embedding, all of one length; other columns are not looked at. Vectors that are null or
+    hold a null or non-finite component take no part, nor do rows without a vec_id. Rows with equal vec_id count once for
+    each distinct vector. An empty table on either side gives no rows. Components so large that an inner product might
+    not fit in 64 bits are an error.
     """
     rows, asked = integers(vectors, scale).distinct(), stored(integers(queries, scale).distinct(), "queries")
     entries = stored(_entries(rows, k), "vectors")
@@ -112,25 +131,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     if dims[0] != dims[1]:
         raise ValueError("vectors of different lengths")
     ends = entries.select(F.posexplode("v").alias("p", "x")).groupBy("p").agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("p").collect()
-    low = np.array([r["low"] for r in ends], np.int64)
-    width = (np.array([r["high"] for r in ends], np.int64) - low) // CELLS + 1
+    low, high = (np.array([r[k] for r in ends], np.int64) for k in ("low", "high"))
+    most = asked.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0]
+    if max(int(most), *map(abs, [*low.tolist(), *high.tolist()])) ** 2 * len(low) >= 2**62:
+        raise ValueError("components are too large: inner products would not fit in 64 bits")
+    width = (high - low) // CELLS + 1
     file = stored(approximate(entries, low, width), "approximation")
-    left = scan(asked, file, low, width, k, asked.count(), file.count())
-    by_query = Window.partitionBy("query_id")
-    # over all cells: the bar is the (k+1)-th best lower bound
-    ranked = left.withColumn("_r", F.row_number().over(by_query.orderBy(F.desc("lower"), "entry")))
-    left = ranked.withColumn("_bar", F.min(F.when(F.col("_r") <= k + 1, F.col("lower"))).over(by_query)).where((F.col("upper") >= F.col("_bar")) | (F.col("_r") <= k + 1))
-    left = stored(left.select("query_id", "entry", "upper", F.row_number().over(by_query.orderBy(F.desc("upper"), "entry")).alias("place")), "candidates")
+    left = stored(scan(asked, file, low, width, k, asked.count(), file.count()), "scan")
+    # over all cells: the bar is the (k+1)-th best lower bound, or the least where there are fewer
+    bar = best(left.select("query_id", "entry", "lower"), k + 1, F.desc("lower"), "entry").groupBy("query_id").agg(F.min("lower").alias("_bar"))
+    left = stored(left.join(bar, "query_id").where(F.col("upper") >= F.col("_bar")).select("query_id", "entry", "upper"), "candidates")
 
     def read(some: DataFrame) -> DataFrame:
         """The exact scores of candidates."""
         both = some.join(entries, "entry").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
         dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0).cast("long"), lambda a, x: a + x)
-        return both.select("query_id", "ids", dot.alias("score"))
-
-    first = stored(read(left.where(F.col("place") <= k + 1)), "first")
-    bar = first.withColumn("_r", F.row_number().over(by_query.orderBy(F.desc("score")))).where(F.col("_r") <= k + 1).groupBy("query_id").agg(F.min("score").alias("bar"))
-    rest = read(left.where(F.col("place") > k + 1).join(bar, "query_id").where(F.col("upper") >= F.col("bar")).select("query_id", "entry"))
-    scored = first.unionByName(rest).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    final = scored.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-    return final.select("query_id", "rank", "vec_id", "score")
+        return both.select("query_id", "entry", "ids", dot.alias("score"))
+
+    first = stored(read(best(left, k + 1, F.desc("upper"), "entry").select("query_id", "entry")), "first")
+    bar = first.groupBy("query_id").agg(F.min("score").alias("bar"))
+    others = left.join(bar, "query_id").where(F.col("upper") >= F.col("bar")).join(first.select("query_id", "entry"), ["query_id", "entry"], "left_anti")
+    scored = first.unionByName(read(others.select("query_id", "entry"))).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    final = best(scored, k, F.desc("score"), "vec_id")
+    return final.select("query_id", F.col("_rank").alias("rank"), "vec_id", "score")
