@@ -21,10 +21,21 @@ def test_encoders_equal_library(kind, path, texts):
 
 
 def test_small_cache_changes_nothing(texts, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE", 50)
-    encoder = tokens.WordEncoder(WORD())
-    for _, t in texts[:60]:
-        assert encoder.encode([t])[0].tolist() == encoder.library([t])[0].tolist()
+    import sentencepiece
+
+    monkeypatch.setattr(counts, "CACHE", 50)
+    lengths, model = counts.Lengths(PIECE(), {"the": 1}), sentencepiece.SentencePieceProcessor(model_file=PIECE())
+    for _, t in [*texts[:60], *texts[:20]]:
+        assert lengths.count([t]) == [len(model.encode(t))]
+
+
+@pytest.mark.parametrize(("kind", "path"), [(tokens.ByteEncoder, BYTE), (tokens.WordEncoder, WORD)])
+def test_encoders_on_random_texts(kind, path):
+    encoder, rng = kind(path()), random.Random(4)
+    letters = "ab'st mdrevl  \nABZ09.,!?-\u00bf\u00e9\u00c9\u00df\u00ff\u0100\u0101\u0130\u0131\u0149\u01c5\u01c6\u023a\u024f\u00bd\u00b2\u00aa\u00ba\u00d7\u00f7"
+    sample = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(8000)]
+    for a, b, t in zip(encoder.encode(sample), encoder.library(sample), sample, strict=True):
+        assert a.tolist() == b.tolist(), t
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
@@ -76,11 +87,22 @@ def test_tree_query(spark, odd, empty):
     assert len(got) == odd.count()
     assert treebpe.encode(empty).count() == 0
     tokenizer = tokens.load(BYTE())
+    want = sorted(((r["doc_id"] or 0), tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) for r in odd.collect())
+    assert sorted(((r["doc_id"] or 0), np.frombuffer(r["ids"], "<u4").tolist()) for r in got) == want
     for r in got:
-        assert np.frombuffer(r["ids"], "<u4").tolist() == tokenizer.encode(r["decoded"], add_special_tokens=False).ids
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert r["decoded"] == tokenizer.decode(ids, skip_special_tokens=False) and r["n_tokens"] == len(ids)
     assert {r["n_tokens"] for r in got if r["doc_id"] in (1, 2)} == {0}
 
 
+def test_threads_change_nothing(texts, monkeypatch):
+    monkeypatch.setattr(treebpe, "LEAVES", 2)
+    text = " ".join(t for _, t in texts[:40])
+    for threads in (1, 3):
+        tree = treebpe.TreeEncoder(BYTE(), leaf=500, threads=threads)
+        assert tree.encode([text, "a", text])[2].tolist() == tree.encoder.library([text])[0].tolist()
+
+
 def test_counts_equal_library(spark, odd, empty, texts):
     import sentencepiece
 
@@ -173,6 +195,53 @@ def test_damaged_records_are_found():
         list(records.parse(bytes(data[:-3])))
 
 
+def test_small_files(spark, texts, tmp_path, monkeypatch):
+    """A task's records in several files; numbers run on over them."""
+    monkeypatch.setattr(records, "FILE_BYTES", 1000)
+    out = f"file://{tmp_path}/r"
+    df = spark.createDataFrame(texts[:100], "doc_id long, text string").coalesce(1)
+    df.write.parquet(f"{tmp_path}/docs")
+    records.write(spark.read.parquet(f"{tmp_path}/docs"), out)
+    assert records.files(spark, out).count() > 8
+    at, tokenizer = 0, tokens.load(WORD())
+    for r, (d, t) in zip(records.numbered(spark, out).orderBy("start").collect(), sorted(texts[:100]), strict=True):
+        assert (r["doc_id"], r["start"], r["n_tokens"]) == (d, at, len(tokenizer.encode(t, add_special_tokens=False).ids) + 1)
+        at += r["n_tokens"]
+    found = records.fetch(spark, out, spark.createDataFrame([(texts[5][0],), (texts[5][0],), (-1,), (None,)], "doc_id long")).collect()
+    assert [r["doc_id"] for r in found] == [texts[5][0]]
+
+
+def test_rows_of_one_id_are_packed_apart(spark):
+    rows = [(1, f"text {i} " * 5) for i in range(300)] + [(None, "x y z")] * 50
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), length=128).collect()
+    _whole(got, 128)
+    tokenizer = tokens.load(BYTE())
+    assert sum(p["length"] for p in got) == sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+
+
+def test_counts_query_on_whole_table(spark, sf, texts):
+    import sentencepiece
+
+    from quire.llm import queries
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE())
+    got = {r["doc_id"]: tuple(r) for r in queries.op5_token_counts(spark, sf).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()}
+    assert got == {d: (d, len(t.encode()), n := len(model.encode(t)), n > 4096) for d, t in texts}
+
+
+def test_tree_query_on_whole_table(spark, sf, texts):
+    import hashlib
+
+    from quire.llm import queries
+
+    tokenizer = tokens.load(BYTE())
+    got = {r["doc_id"]: tuple(r) for r in queries.op7_tree_bpe(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
+    for (d, _), e in zip(texts, tokenizer.encode_batch([t for _, t in texts], add_special_tokens=False), strict=True):
+        back = tokenizer.decode(e.ids, skip_special_tokens=False)
+        assert got[d] == (d, len(e.ids), hashlib.sha256(np.array(e.ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+    assert len(got) == len(texts)
+
+
 def test_queries_on_whole_table(spark, sf, texts):
     from quire.llm import queries
 
