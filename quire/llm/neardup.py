@@ -411,7 +411,7 @@ def _linked(docs: DataFrame, similar: int) -> DataFrame:
             pairs = pairs.unionByName(new)
             labels = stored(joined(labels, stored(confirm(new, classes, docs, similar), "links")), "labels")
     placed = classes.select("id", "doc", *same).join(labels, "id", "left").select("id", "doc", *same, F.coalesce("component", "id").alias("group"))
-    least = placed.groupBy("group").agg(F.min("doc").alias("least"))
+    least = stored(placed.groupBy("group").agg(F.min("doc").alias("least")), "least-documents")
     placed = stored(placed.join(least, "group").select(F.col("id").alias("class"), *same, "group", "least"), "placed")
     # a row whose set no class has can only be one without words
     named = told.where("doc_id is not null").select("doc_id", *same).join(placed, same, "left")
